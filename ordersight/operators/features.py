@@ -7,6 +7,9 @@ is only another frame over the same ordering.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,8 +196,18 @@ def _day_columns(days_after: int) -> list[Column]:
 
 def matrix_of_day(base: DataFrame, days_after: int) -> DataFrame:
     """Key, date, 69 features and label of one day; lines with any of them missing are left out."""
-    out = base.select(V.KEY, V.DATE, *V.STATIC_FEATURES, *_day_columns(days_after), V.LABEL)
-    return out.na.drop()
+    return complete_rows(base.select(V.KEY, V.DATE, *V.STATIC_FEATURES, *_day_columns(days_after), V.LABEL))
+
+
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows without NULL or NaN. One condition per column: a single one over all columns, as na.drop
+    builds it, makes the optimizer derive a variant for every combination of later aliases."""
+    conditions = []
+    for f in df.schema:
+        conditions.append(F.col(f"`{f.name}`").isNotNull())
+        if f.dataType.typeName() in ("double", "float"):
+            conditions.append(~F.isnan(f"`{f.name}`"))
+    return df.where(reduce(and_, conditions))
 
 
 def feature_matrix(prepared: DataFrame, days_after: int) -> DataFrame:
@@ -205,5 +218,6 @@ def feature_matrix_all_days(prepared: DataFrame, days: list[int]) -> DataFrame:
     """The matrices of several days, stacked, with the day as a column; built from one base."""
     base = feature_base(prepared, days)
     per_day = F.array(*[F.struct(F.lit(x).alias("day"), *_day_columns(x)) for x in days])
-    return (base.select(V.KEY, V.DATE, *V.STATIC_FEATURES, V.LABEL, F.inline(per_day))
-            .select(V.KEY, "day", V.DATE, *[F.col(f"`{f}`") for f in V.FEATURES], V.LABEL).na.drop())
+    return complete_rows(
+        base.select(V.KEY, V.DATE, *V.STATIC_FEATURES, V.LABEL, F.inline(per_day))
+        .select(V.KEY, "day", V.DATE, *[F.col(f"`{f}`") for f in V.FEATURES], V.LABEL))
