@@ -100,16 +100,23 @@ def product_history(prepared: DataFrame, days: list[int]) -> DataFrame:
 # --- outcome shares -------------------------------------------------------------------------
 
 def _outcome_counts() -> list[Column]:
-    return [F.count_if(F.col(V.OUTCOME) == o.upper()).alias(o) for o in ["Happy", "Unhappy", "Unknown"]]
+    return [F.count_if(F.col(V.OUTCOME) == k.upper()).alias(k) for k in KINDS]
 
 
-def _outcome_shares(variable: str, days_after: int, by_day) -> Column:
-    """Shares of the outcomes final by the prediction day; an outcome is final after 30 days."""
-    frame = by_day.rangeBetween(Window.unboundedPreceding, days_after - V.OUTCOME_DELAY)
-    kinds = ["Happy", "Unhappy", "Unknown"]
-    n = {k: F.coalesce(F.sum(k).over(frame), F.lit(0)) for k in kinds}
+KINDS = ["Happy", "Unhappy", "Unknown"]
+
+
+def _final_counts(days: list[int], by_day) -> list[Column]:
+    """Running counts of the outcomes final by each prediction day; final is 30 days after the order."""
+    return [F.coalesce(F.sum(k).over(by_day.rangeBetween(Window.unboundedPreceding, x - V.OUTCOME_DELAY)),
+                       F.lit(0)).alias(f"{k}_{x}") for x in days for k in KINDS]
+
+
+def _outcome_shares(variable: str, days_after: int) -> Column:
+    n = {k: F.col(f"{k}_{days_after}") for k in KINDS}
     total = n["Happy"] + n["Unhappy"] + n["Unknown"]
-    return F.struct(*[percent(n[k], total).alias(f"{variable}Historic{k}X") for k in kinds])
+    return F.struct(*[percent(n[k], total).alias(f"{variable}Historic{k}X") for k in KINDS]).alias(
+        f"{variable}_{days_after}")
 
 
 def key_of(variable: str) -> Column:
@@ -123,8 +130,9 @@ def outcome_history(prepared: DataFrame, variable: str, days: list[int]) -> Data
     daily = (prepared.where(F.col("orderDate").isNotNull())
              .groupBy(key_of(variable).alias("key"), day_number(F.col("orderDate")).alias("day"))
              .agg(*_outcome_counts()))
-    return daily.select("key", "day", *[_outcome_shares(variable, x, by_day).alias(f"{variable}_{x}")
-                                        for x in days])
+    # The counts come first: inside the shares each would be a window expression several times over.
+    counted = daily.select("key", "day", *_final_counts(days, by_day))
+    return counted.select("key", "day", *[_outcome_shares(variable, x) for x in days])
 
 
 # --- sellers --------------------------------------------------------------------------------
@@ -146,9 +154,11 @@ def seller_history(prepared: DataFrame, days: list[int], outcomes: bool = True)
     rate = natural_log(F.sum("orders").over(upto) / (F.col("day") - first + 1))
     rated = daily.withColumn("rate", F.when(F.col("lines") > 0, rate))
     out = [_as_of(F.col("rate"), x, by_day).alias(f"seller_{x}") for x in days]
-    if outcomes:
-        out += [_outcome_shares("sellerId", x, by_day).alias(f"sellerId_{x}") for x in days]
-    return rated.select("key", "day", *out)
+    if not outcomes:
+        return rated.select("key", "day", *out)
+    counted = rated.select("key", "day", *out, *_final_counts(days, by_day))
+    return counted.select("key", "day", *[f"seller_{x}" for x in days],
+                          *[_outcome_shares("sellerId", x) for x in days])
 
 
 # --- feature matrix -------------------------------------------------------------------------

@@ -1,0 +1,132 @@
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ordersight.operators import metrics as M
+from ordersight.operators import routing as R
+from ordersight.operators import thresholds as T
+from ordersight.operators.hierarchy import ClassTree, class_weights, stage_targets
+
+TREE = ClassTree.satisfaction()
+LEAVES = ["UNKNOWN", "HAPPY", "MILDLY UNHAPPY", "MEDIUM UNHAPPY", "HEAVILY UNHAPPY"]
+
+
+def test_tree_shape():
+    assert TREE.leaves() == LEAVES and TREE.internal() == ["KNOWN", "UNHAPPY"]
+    assert [s.name for s in TREE.stages()] == ["ORDERS", "KNOWN", "UNHAPPY"]
+    assert TREE.ancestors("MILDLY UNHAPPY") == ["UNHAPPY", "KNOWN"] and TREE.parent("nowhere") == "ORDERS"
+    assert TREE.distance("UNKNOWN", "MILDLY UNHAPPY") == 4 and TREE.distance("ORDERS", "KNOWN") == 1
+
+
+def test_expressions_agree_with_the_tree(spark):
+    names = ["ORDERS", *TREE.nodes()]
+    df = spark.createDataFrame(list(itertools.product(names, names)), "a string, b string")
+    for r in df.select("a", "b", TREE.distance_between(F.col("a"), F.col("b")).alias("d")).collect():
+        assert r["d"] == TREE.distance(r["a"], r["b"])
+
+
+def test_targets_and_weights(spark):
+    df = spark.createDataFrame([("1", "UNKNOWN"), ("2", "HAPPY"), ("3", "MEDIUM UNHAPPY"), ("4", "HAPPY")],
+                               "orderLineId string, detailedMatchClassification string")
+    got = {(r["orderLineId"], r["stage"]): r["target"] for r in stage_targets(df, TREE).collect()}
+    assert got["3", "ORDERS"] == "KNOWN" and got["3", "KNOWN"] == "UNHAPPY" and ("1", "KNOWN") not in got
+    w = {(r["stage"], r["target"]): r["weight"] for r in class_weights(df, TREE).collect()}
+    assert w["ORDERS", "UNKNOWN"] == 2.0 and w["KNOWN", "HAPPY"] == 0.75
+
+
+def scored(spark, rows):
+    """(label, p_KNOWN, p_HAPPY, p_MILDLY, p_MEDIUM)"""
+    full = [(str(i), label, 1 - k, k, h, 1 - h, a, b, 1 - a - b) for i, (label, k, h, a, b) in enumerate(rows)]
+    cols = ["orderLineId", "label"] + [R.score_column(n) for n in
+                                       ["UNKNOWN", "KNOWN", "HAPPY", "UNHAPPY", "MILDLY UNHAPPY", "MEDIUM UNHAPPY", "HEAVILY UNHAPPY"]]
+    return spark.createDataFrame(full, cols)
+
+
+def test_routing_ties_and_limits(spark):
+    df = scored(spark, [("HAPPY", 0.5, 0.5, 0.25, 0.5), ("HAPPY", 0.7, 0.2, 0.4, 0.4), ("HAPPY", 0.7, 0.2, 0.2, 0.7)])
+    free = [r["pred"] for r in R.route(df, TREE).orderBy("orderLineId").collect()]
+    assert free == ["HAPPY", "MEDIUM UNHAPPY", "MEDIUM UNHAPPY"]
+    limit = {n: 0.7 for n in TREE.nodes()}
+    held = [r["pred"] for r in R.route(df, TREE, limit).orderBy("orderLineId").collect()]
+    assert held == ["ORDERS", "UNHAPPY", "MEDIUM UNHAPPY"]
+    b = {r["stage"]: (r["scored"], r["blocked"]) for r in R.blocking(R.route(df, TREE, limit), TREE).collect()}
+    assert b == {"ORDERS": (3, 1), "KNOWN": (2, 0), "UNHAPPY": (2, 1)}
+
+
+def scan(pos, neg, certainty=0.7, steps=100):
+    """Every candidate against every score."""
+    values = np.concatenate((pos, neg))
+    bound = np.percentile(neg, certainty * 100) if len(neg) else values.min()
+    values = values[values >= bound]
+    best = (-1.0, None, None)
+    for i, t in enumerate(np.linspace(values.min(), values.max(), steps)):
+        p, n = (pos >= t).sum(), (neg >= t).sum()
+        precision, recall = p / (p + n), p / len(pos)
+        f = 2 * precision * recall / (precision + recall) if precision + recall else 0
+        if f > best[0]:
+            best = (f, t, i)
+    return best
+
+
+@pytest.mark.parametrize("exact_rows", [10 ** 6, 3])
+def test_thresholds_match_a_scan(spark, exact_rows):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(600):
+        label = rng.choice(LEAVES)
+        a, b = rng.random() / 2, rng.random() / 2
+        rows.append((label, min(1.0, rng.random() + 0.2 * (label != "UNKNOWN")), rng.choice([0.5, 0.8, rng.random()]), a, b))
+    df = scored(spark, rows)
+    got = {r["node"]: r for r in T.learn(df, TREE, exact_rows=exact_rows).collect()}
+    table = df.toPandas()
+    for stage in TREE.stages():
+        for node in stage.labels:
+            under = [x for x in LEAVES if x == node or node in TREE.ancestors(x)]
+            inside = [x for x in LEAVES if any(x == c or c in TREE.ancestors(x) for c in stage.labels)]
+            t = table[table.label.isin(inside)]
+            for other in stage.labels:
+                if other != node:
+                    t = t[t[R.score_column(node)] > t[R.score_column(other)]]
+            positive = t.label.isin(under)
+            f, threshold, i = scan(t[positive][R.score_column(node)].values, t[~positive][R.score_column(node)].values)
+            assert (got[node]["candidate"], got[node]["threshold"]) == (i, threshold), node
+            assert got[node]["f_score"] == pytest.approx(f)
+
+
+def test_node_without_positives_blocks(spark):
+    df = scored(spark, [("HAPPY", 0.1, 0.9, 0.3, 0.3), ("HAPPY", 0.9, 0.9, 0.3, 0.3)])
+    got = {r["node"]: r["threshold"] for r in T.learn(df, TREE).collect()}
+    assert got["UNKNOWN"] == math.inf and got["MILDLY UNHAPPY"] == math.inf and got["HAPPY"] == 0.9
+
+
+def test_scores_against_the_definitions(spark):
+    rng = random.Random(3)
+    pairs = [(rng.choice(LEAVES), rng.choice(["ORDERS", *TREE.nodes()])) for _ in range(300)]
+    counts = M.confusion(spark.createDataFrame(pairs, "label string, pred string"))
+
+    def nodes(x):
+        return {x, *TREE.ancestors(x)}
+    common = sum(len(nodes(a) & nodes(b)) for a, b in pairs)
+    r = M.hierarchical_prf(counts, TREE).first()
+    assert r["precision"] == pytest.approx(common / sum(len(nodes(b)) for _, b in pairs))
+    assert r["recall"] == pytest.approx(common / sum(len(nodes(a)) for a, _ in pairs))
+    assert M.tree_error(counts, TREE).first()["tree_error"] == pytest.approx(
+        sum(TREE.distance(a, b) for a, b in pairs) / 300)
+    report = {r["class"]: r for r in M.class_report(counts).collect()}
+    hits = sum(a == b == "HAPPY" for a, b in pairs)
+    assert report["HAPPY"]["precision"] == pytest.approx(hits / sum(b == "HAPPY" for _, b in pairs))
+    assert report["HAPPY"]["support"] == sum(a == "HAPPY" for a, _ in pairs)
+    assert report["KNOWN"]["recall"] == 0 and report["accuracy"]["f1"] == pytest.approx(sum(a == b for a, b in pairs) / 300)
+
+
+def test_nothing_predicted_gives_no_score(spark):
+    history = spark.createDataFrame([("1", 0, "HAPPY", "KNOWN", None), ("1", 1, "HAPPY", "UNKNOWN", "KNOWN")],
+                                    "orderLineId string, day int, label string, pred string, prev string")
+    got = {(r["day"], r["metric"], r["node"]): r["value"] for r in M.daily_report(history, TREE).collect()}
+    assert got[0, "leaf_accuracy", None] is None and got[0, "%classified", None] == 0
+    assert got[1, "block_Nchange", None] == 1 and got[1, "%classified", None] == 1
+    assert got[0, "%blocking", "KNOWN"] == 1 and got[1, "%blocking", "KNOWN"] is None
