@@ -132,12 +132,24 @@ def with_offsets(df: DataFrame) -> DataFrame:
     return df.withColumns({n: day_gap(F.col(a), F.col(b)) for n, (a, b) in OFFSETS.items()})
 
 
+def weekday_flags(weekday: Column) -> dict[str, Column]:
+    return {f"order{n}": same(weekday, F.lit(i)) for i, n in enumerate(V.WEEKDAYS)}
+
+
+def month_flags(month: Column) -> dict[str, Column]:
+    return {f"order{n}": same(month, F.lit(i + 1)) for i, n in enumerate(V.MONTHS)}
+
+
+def group_flags(group: Column) -> dict[str, Column]:
+    """A fixed list of one-hot columns; absent groups are all False."""
+    return {V.group_column(g): same(group, F.lit(g)) for g in [*V.PRODUCT_GROUPS, V.OTHER_GROUP]}
+
+
 def with_calendar(df: DataFrame, flags: CalendarFlags = CalendarFlags()) -> DataFrame:
     """Year, month and weekday (0 = Monday) of the order, with their one-hot flags."""
     date = F.col("orderDate")
     parts = {"orderYear": F.year(date), "orderMonth": F.month(date), "orderWeekday": F.weekday(date)}
-    one_hot = {f"order{n}": same(parts["orderWeekday"], F.lit(i)) for i, n in enumerate(V.WEEKDAYS)}
-    one_hot |= {f"order{n}": same(parts["orderMonth"], F.lit(i + 1)) for i, n in enumerate(V.MONTHS)}
+    one_hot = weekday_flags(parts["orderWeekday"]) | month_flags(parts["orderMonth"])
     return df.withColumns(parts | one_hot | {
         "orderCorona": holds(date > F.lit(flags.after)),
         "orderYear2020": same(parts["orderYear"], F.lit(flags.year)),
@@ -179,11 +191,10 @@ def with_transporter(df: DataFrame) -> DataFrame:
 
 
 def with_product_group(df: DataFrame) -> DataFrame:
-    """General product group and a fixed list of one-hot columns; absent groups are all False."""
+    """General product group and its one-hot columns."""
     df = df.withColumn("productGroupGeneral", grouped(
         F.col("productGroup"), V.PRODUCT_GROUPS, V.OTHER_GROUP))
-    return df.withColumns({V.group_column(g): F.col("productGroupGeneral") == g
-                           for g in [*V.PRODUCT_GROUPS, V.OTHER_GROUP]})
+    return df.withColumns(group_flags(F.col("productGroupGeneral")))
 
 
 # --- reports --------------------------------------------------------------------------------

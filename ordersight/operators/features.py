@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ordersight.functions import values as V
 from ordersight.functions.columns import (
     day_number, first_day_at_or_after, holds, natural_log, percent, ratio)
+from ordersight.operators.cleaning import group_flags, month_flags, weekday_flags
 from ordersight.session import lookup_join
 
 MISSING_KEY = "UNKNOWN"
@@ -175,13 +176,15 @@ def _attach(rows: DataFrame, history: DataFrame, key: Column, small: bool = Fals
     return out.drop("key", "day")
 
 
+# One-hot columns follow from three codes. The codes travel through the shuffles, the flags do not.
+CARRIED = V.BASIC + V.YEAR + ["orderWeekday", "orderMonth", "productGroupGeneral"]
 FLAG_SOURCES = ["caseDays", "returnDays", "cancellationDays", "actualDeliveryDays", "onTimeDelivery",
                 "shipmentDays", "transporterCodeGeneral"]
 
 
 def feature_base(prepared: DataFrame, days: list[int]) -> DataFrame:
     """Every order line with what all requested days need: the rows are shuffled once for all X."""
-    rows = prepared.select(V.KEY, V.DATE, V.LABEL, *V.STATIC_FEATURES, *FLAG_SOURCES,
+    rows = prepared.select(V.KEY, V.DATE, V.LABEL, *CARRIED, *FLAG_SOURCES,
                            "productId", *V.HISTORY_VARIABLES)
     rows = _attach(rows, outcome_history(prepared, "transporterCode", days),
                    key_of("transporterCode"), small=True)
@@ -194,6 +197,12 @@ def feature_base(prepared: DataFrame, days: list[int]) -> DataFrame:
                              for x in days})
 
 
+def _static_columns() -> list[Column]:
+    flags = (weekday_flags(F.col("orderWeekday")) | month_flags(F.col("orderMonth"))
+             | group_flags(F.col("productGroupGeneral")))
+    return [flags[f].alias(f) if f in flags else F.col(f) for f in V.STATIC_FEATURES]
+
+
 def _day_columns(days_after: int) -> list[Column]:
     flags = known_flags(days_after)
     fields = {f: F.col(f"product_{days_after}")[f] for f in V.PRODUCT_X}
@@ -206,7 +215,7 @@ def _day_columns(days_after: int) -> list[Column]:
 
 def matrix_of_day(base: DataFrame, days_after: int) -> DataFrame:
     """Key, date, 69 features and label of one day; lines with any of them missing are left out."""
-    return complete_rows(base.select(V.KEY, V.DATE, *V.STATIC_FEATURES, *_day_columns(days_after), V.LABEL))
+    return complete_rows(base.select(V.KEY, V.DATE, *_static_columns(), *_day_columns(days_after), V.LABEL))
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -229,5 +238,5 @@ def feature_matrix_all_days(prepared: DataFrame, days: list[int]) -> DataFrame:
     base = feature_base(prepared, days)
     per_day = F.array(*[F.struct(F.lit(x).alias("day"), *_day_columns(x)) for x in days])
     return complete_rows(
-        base.select(V.KEY, V.DATE, *V.STATIC_FEATURES, V.LABEL, F.inline(per_day))
+        base.select(V.KEY, V.DATE, *_static_columns(), V.LABEL, F.inline(per_day))
         .select(V.KEY, "day", V.DATE, *[F.col(f"`{f}`") for f in V.FEATURES], V.LABEL))

@@ -134,3 +134,13 @@ def test_stacked_matrix_equals_single_days(raw):
     stacked = X.feature_matrix_all_days(prepared, [0, 4])
     for x in (0, 4):
         assert stacked.where(F.col("day") == x).drop("day").exceptAll(X.feature_matrix(prepared, x)).count() == 0
+
+
+def test_join_beyond_the_broadcast_limit(spark):
+    from ordersight.session import lookup_join
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "key string, day int")
+    table = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.7)], "key string, day int, share double")
+    small = lookup_join(rows, table, ["key", "day"], "t")
+    large = lookup_join(rows, table, ["key", "day"], "t", limit_bytes=0)
+    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str) and small.count() == 3
+    assert "hint" not in large._jdf.queryExecution().logical().toString().lower()
