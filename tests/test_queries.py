@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = Path("/root/testdata/sf0.001")
-# At this scale three keys repeat, and a row is followed over the days by its key.
+# At this scale one key repeats, and a row is followed over the days by its key.
 BY_KEY_OVER_DAYS = {"tree_distance", "carry_over", "hier_prf", "hier_prf_by_label", "tree_error", "block_change",
                     "daily_report", "write_metrics"}
 ORACLES = entry.oracle_sql()
