@@ -33,7 +33,7 @@ BEGINNINGS = (4, 5)
 STEPS = 25
 LEAST_DOCS = 3
 LEAST_LOG_ODDS = 2.5
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 CACHED_WORDS = 500_000
 WORD = re.compile(r"\w+")
 ODDS = 12.0
