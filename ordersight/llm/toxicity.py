@@ -11,7 +11,6 @@ labels of the sample, gives the score. Tokens with a marginal of a half or more
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,8 @@ BEGINNINGS = (4, 5)
 STEPS = 25
 LEAST_DOCS = 3
 LEAST_LOG_ODDS = 2.5
-TOKENS_AT_ONCE = 1_000_000
-CACHED_WORDS = 500_000
+ROWS_AT_ONCE = 2000
+CACHED_WORDS = 200_000
 WORD = re.compile(r"\w+")
 ODDS = 12.0
 
@@ -66,8 +65,8 @@ class Chains:
         rank = np.arange(self.at[-1]) - self.at[place] if longest else np.zeros(0, np.int64)
         self.token = first[rank] + place  # of the flat tokens, in the order of the layout
 
-    def marginals(self, emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of state 1 per token, and the summed pair marginals of the four transitions.
+    def marginals(self, emission: np.ndarray, trans: np.ndarray, with_pairs: bool = False) -> tuple:
+        """Log odds of state 1 per token, and where asked the summed pair marginals of the four transitions.
 
         `emission` is the log weight of state 1 over state 0, flat; `trans` the 2 x 2 log weights.
         """
@@ -89,6 +88,8 @@ class Chains:
             b[lo:lo + m] = np.log((t[1, 0] + r * t[1, 1]) / (t[0, 0] + r * t[0, 1]))
         odds = np.empty(len(e))
         odds[self.token] = f + b
+        if not with_pairs:
+            return odds, None
         pairs = np.zeros((2, 2))
         for k in range(n - 1):
             nxt, m = self.at[k + 1], self.alive[k + 1]
@@ -120,75 +121,93 @@ class Tagger:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def emission(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            found = self.known[word] = float(self.weights[[_slot(u) for u in units(word)]].sum() + self.weights[-1])
-        return found
-
-    def score(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of documents; log odds of all tokens, flat; tokens per document."""
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        if self.weights is None:
-            return np.zeros(len(rows)), np.full(int(sizes.sum()), -ODDS), sizes
+    def emissions(self, text: str | None) -> np.ndarray:
+        """Log weight of state 1 over state 0 of every token; words that were met are looked up."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        e = np.fromiter((self.emission(w) for r in rows for w in r), np.float64, int(sizes.sum()))
-        odds, _ = Chains(sizes).marginals(e, self.trans)
-        found = summary(odds, sizes)
-        return probability(self.document[0] + found @ self.document[1:]), odds, sizes
-
-
-def token_labels(rows: list[list[str]], labels: list[int]) -> list[np.ndarray]:
-    """Toxic tokens of toxic documents, by document counts of their words and beginnings."""
-    counts = [Counter(), Counter()]
-    for words, label in zip(rows, labels, strict=True):
-        counts[label].update({u for w in set(words) for u in units(w)})
-    clean, toxic = labels.count(0), labels.count(1)
-
-    def marked(unit: str) -> bool:
-        a, b = counts[1][unit], counts[0][unit]
-        return a >= LEAST_DOCS and np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)) >= LEAST_LOG_ODDS
-    known = {u: marked(u) for u in counts[1]}
-    return [np.array([label == 1 and any(known.get(u, False) for u in units(w)) for w in words], bool)
-            for words, label in zip(rows, labels, strict=True)]
+        words = tokens(text)
+        found = list(map(self.known.get, words))
+        if None in found:
+            for k, w in enumerate(words):
+                if found[k] is None:
+                    found[k] = self.known.get(w)
+                    if found[k] is None:
+                        slots = [_slot(u) for u in units(w)]
+                        found[k] = self.known[w] = float(self.weights[slots].sum() + self.weights[-1])
+        return np.array(found, np.float64)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of documents; log odds of all tokens, flat; tokens per document."""
+        if self.weights is None:
+            return np.zeros(len(texts)), np.zeros(0), np.zeros(len(texts), np.int64)
+        rows = [self.emissions(t) for t in texts]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        odds, _ = Chains(sizes).marginals(np.concatenate([np.zeros(0), *rows]), self.trans)
+        return probability(self.document[0] + summary(odds, sizes) @ self.document[1:]), odds, sizes
+
+
+class Sample:
+    """Labelled documents as numbers of words, and the words' units as numbers; no strings are kept twice."""
+
+    def __init__(self, texts: list[str | None], labels: list[int]) -> None:
+        words: dict[str, int] = {}
+        rows = [np.fromiter((words.setdefault(w, len(words)) for w in tokens(t)[:TOKENS_PER_ROW]), np.int32) for t in texts]
+        self.labels = np.array(labels)
+        self.sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.word = np.concatenate(rows)
+        self.vocabulary = list(words)
+        number: dict[str, int] = {}
+        per_word = [[number.setdefault(u, len(number)) for u in units(w)] for w in self.vocabulary]
+        self.of = np.repeat(np.arange(len(per_word)), [len(u) for u in per_word])
+        self.unit = np.fromiter((u for us in per_word for u in us), np.int64, len(self.of))
+        self.slot = np.fromiter(map(_slot, number), np.int64, len(number))
+
+    def gold(self) -> np.ndarray:
+        """Toxic tokens of toxic documents, by document counts of their words and beginnings."""
+        first = np.searchsorted(self.of, np.arange(len(self.vocabulary) + 1))
+        counts = np.zeros((2, len(self.slot)), np.int64)
+        for row, label in zip(np.split(self.word, np.cumsum(self.sizes)[:-1]), self.labels, strict=True):
+            own = np.unique(row)
+            n = first[own + 1] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            counts[label, np.unique(self.unit[at])] += 1
+        clean, toxic = (self.labels == 0).sum(), (self.labels == 1).sum()
+        odds = np.log((counts[1] + 0.5) / (toxic + 1)) - np.log((counts[0] + 0.5) / (clean + 1))
+        marked = (counts[1] >= LEAST_DOCS) & (odds >= LEAST_LOG_ODDS)
+        words = np.bincount(self.of, marked[self.unit], len(self.vocabulary)) > 0
+        return words[self.word] & np.repeat(self.labels == 1, self.sizes)
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Tagger:
     """A tagger from labelled documents; the first `TOKENS_PER_ROW` tokens of each are learned from."""
     if len(set(labels)) < 2:
         return Tagger(None, np.zeros((2, 2)), np.zeros(3))
-    rows = [tokens(t)[:TOKENS_PER_ROW] for t in texts]
-    marks = token_labels(rows, labels)
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    gold = np.concatenate(marks).astype(np.float64)
-    vocabulary: dict[str, int] = {}
-    word = np.array([vocabulary.setdefault(w, len(vocabulary)) for r in rows for w in r], np.int64)
-    slots = [[_slot(u) for u in units(w)] for w in vocabulary]
-    of = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    slot = np.concatenate([np.array(s, np.int64) for s in slots]) if slots else np.zeros(0, np.int64)
+    sample = Sample(texts, labels)
+    gold, sizes, word, words = sample.gold(), sample.sizes, sample.word, len(sample.vocabulary)
+    slot, of = sample.slot[sample.unit], sample.of
     chains = Chains(sizes)
-    g = gold.astype(int)
+    g = gold.astype(np.int8)
     inside = np.ones(max(len(g) - 1, 0), bool)
-    inside[(np.cumsum(sizes)[:-1] - 1)[(np.cumsum(sizes)[:-1] > 0) & (np.cumsum(sizes)[:-1] < len(g))]] = False
+    ends = np.cumsum(sizes)[:-1]
+    inside[ends[(ends > 0) & (ends < len(g))] - 1] = False
     gold_pairs = np.bincount((g[:-1] * 2 + g[1:])[inside], minlength=4).reshape(2, 2) if len(g) else np.zeros((2, 2))
-    n = max(len(rows), 1)
+    n = max(len(sizes), 1)
+
+    def emissions(w: np.ndarray) -> np.ndarray:
+        return np.bincount(of, w[slot], words)[word] + w[WEIGHTS - 1]
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        per_word = np.bincount(of, w[slot], len(slots)) + w[WEIGHTS - 1]
-        odds, pairs = chains.marginals(per_word[word], w[WEIGHTS:].reshape(2, 2))
-        off = np.bincount(word, probability(odds) - gold, len(slots))
+        odds, pairs = chains.marginals(emissions(w), w[WEIGHTS:].reshape(2, 2), with_pairs=True)
+        off = np.bincount(word, probability(odds) - gold, words)
         out = np.zeros(WEIGHTS + 4)
         out[:WEIGHTS] = np.bincount(slot, off[of], WEIGHTS)
         out[WEIGHTS - 1] += off.sum()
         out[WEIGHTS:] = (pairs - gold_pairs).ravel()
         return out / n + 1e-4 * w
     w = adagrad(gradient, WEIGHTS + 4, STEPS)
-    tagger = Tagger(w[:WEIGHTS], w[WEIGHTS:].reshape(2, 2), np.zeros(3))
-    e = np.fromiter((tagger.emission(x) for r in rows for x in r), np.float64, len(g))
-    odds, _ = chains.marginals(e, tagger.trans)
-    tagger.document = logistic(summary(odds, sizes), np.array(labels, float), ridge=0.1)
-    return tagger
+    odds, _ = chains.marginals(emissions(w), w[WEIGHTS:].reshape(2, 2))
+    document = logistic(summary(odds, sizes), sample.labels.astype(float), ridge=0.1)
+    return Tagger(w[:WEIGHTS], w[WEIGHTS:].reshape(2, 2), document)
 
 
 def _spans(text: str, odds: np.ndarray) -> list[dict]:
@@ -200,23 +219,17 @@ def _spans(text: str, odds: np.ndarray) -> list[dict]:
 
 def _scored(tagger: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows: list[list[str]] = []
-            held, first = 0, 0
-            for k, text in enumerate(texts):
-                rows.append(tokens(text))
-                held += len(rows[-1])
-                if held >= TOKENS_AT_ONCE or k == len(texts) - 1:
-                    score, odds, sizes = tagger.score(rows)
-                    parts = np.split(odds, np.cumsum(sizes)[:-1])
-                    spans = [_spans(t or "", o) if len(o) and o.max() >= 0 else []
-                             for t, o in zip(texts[first:k + 1], parts, strict=True)]
-                    yield pa.record_batch([
-                        batch.column(0).slice(first, k + 1 - first), pa.array(score),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                        ["key", "score", "spans"])
-                    rows, held, first = [], 0, k + 1
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):  # few texts are held as strings at a time
+                batch = whole.slice(lo, ROWS_AT_ONCE)
+                texts = batch.column(1).to_pylist()
+                score, odds, sizes = tagger.score(texts)
+                parts = np.split(odds, np.cumsum(sizes)[:-1])
+                spans = [_spans(t or "", o) if len(o) and o.max() >= 0 else [] for t, o in zip(texts, parts, strict=True)]
+                yield pa.record_batch([
+                    batch.column(0), pa.array(score),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                    ["key", "score", "spans"])
     return run
 
 
