@@ -116,6 +116,7 @@ class Tagger:
 
     def __init__(self, weights: np.ndarray | None, trans: np.ndarray, document: np.ndarray) -> None:
         self.weights, self.trans, self.document = weights, trans, document
+        self.table = [] if weights is None else weights.tolist()  # plain floats: quicker for a few at a time
         self.known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
@@ -132,8 +133,7 @@ class Tagger:
                 if found[k] is None:
                     found[k] = self.known.get(w)
                     if found[k] is None:
-                        slots = [_slot(u) for u in units(w)]
-                        found[k] = self.known[w] = float(self.weights[slots].sum() + self.weights[-1])
+                        found[k] = self.known[w] = sum([self.table[_slot(u)] for u in units(w)], self.table[-1])
         return np.array(found, np.float64)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
