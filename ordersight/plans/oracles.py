@@ -248,13 +248,14 @@ def _route(thresholds: dict[str, float] | float | None) -> str:
 def _history(fixed: dict[str, float]) -> str:
     return f"""
 {_scores(DAYS)},
-routed AS (SELECT orderLineId, day, label,
+routed AS MATERIALIZED (SELECT orderLineId, day, label,
   CASE WHEN day = {V.LAST_DAY} THEN {_route(None)} ELSE {_route(fixed)} END AS pred FROM scores),
-decided AS (SELECT orderLineId, min(day) AS at FROM routed WHERE pred IN (SELECT node FROM leaves) GROUP BY 1),
-history AS (SELECT r.orderLineId, r.day, r.label, r.pred,
-    CASE WHEN y.pred IN ('KNOWN', 'UNHAPPY') THEN y.pred END AS prev
-  FROM routed r JOIN decided d ON d.orderLineId = r.orderLineId AND r.day <= d.at
-    LEFT JOIN routed y ON y.orderLineId = r.orderLineId AND y.day = r.day - 1),
+followed AS (SELECT *, lag(pred) OVER k AS before,
+    min(CASE WHEN pred IN ('UNKNOWN', 'HAPPY', 'MILDLY UNHAPPY', 'MEDIUM UNHAPPY', 'HEAVILY UNHAPPY') THEN day END)
+      OVER (PARTITION BY orderLineId) AS decided_on
+  FROM routed WINDOW k AS (PARTITION BY orderLineId ORDER BY day)),
+history AS MATERIALIZED (SELECT orderLineId, day, label, pred,
+    CASE WHEN before IN ('KNOWN', 'UNHAPPY') THEN before END AS prev FROM followed WHERE day <= decided_on),
 hp AS (SELECT h.*, common, t, p, distance, pred IN (SELECT node FROM leaves) AS leaf,
          pred IN ('KNOWN', 'UNHAPPY') AS block,
          (SELECT count(*) > 0 FROM closure c WHERE c.node = h.pred AND c.ancestor = h.prev) AS inside

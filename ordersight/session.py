@@ -19,6 +19,7 @@ def local_session(cores: str = "*", name: str = "ordersight", memory: str = "12g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ordersight-"))
         # Wide selects outgrow what the JVM compiles; split projections run several times faster.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Recording the call site of every column expression costs several round trips each.
@@ -33,9 +34,15 @@ def local_session(cores: str = "*", name: str = "ordersight", memory: str = "12g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder named by spark.checkpoint.dir, which all executors must share.
+
+    Where none is named, a temporary one is used in a single process only; on a cluster it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"Set spark.checkpoint.dir to a folder that all executors share (master {master})")
         named = tempfile.mkdtemp(prefix="ordersight-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

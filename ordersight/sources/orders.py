@@ -48,15 +48,15 @@ def _parsed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast("double").try_cast(kind)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, position: int = 0) -> DataFrame:
     """One export with a header. Columns are found by name; unlisted ones are left out.
 
-    A file without a key column gets one from the position of each line. It keeps the incoming order
-    and becomes fixed when the prepared table is written.
+    A file without a key column gets one from its ``position`` among the files and the place of each line.
+    It keeps the incoming order and becomes fixed when the prepared table is written.
     """
     text = spark.read.csv(path, header=True, multiLine=False, escape='"')
     key = [] if KEY in text.columns else [
-        F.format_string("%020d", F.monotonically_increasing_id()).alias(KEY)]
+        F.format_string("%05d-%020d", F.lit(position), F.monotonically_increasing_id()).alias(KEY)]
     text = text.select("*", *key)
     return text.select([_parsed(F.col(f.name), f.dataType).alias(f.name) for f in RAW_SCHEMA])
 
@@ -66,16 +66,25 @@ def union_years(years: list[DataFrame]) -> DataFrame:
 
 
 def read_csv_years(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return union_years([read_csv(spark, p) for p in paths])
+    return union_years([read_csv(spark, p, k) for k, p in enumerate(paths)])
+
+
+def require_unique_keys(lines: DataFrame) -> None:
+    """Fail with an example if a key is missing or repeated: everything that follows a row relies on it."""
+    bad = lines.groupBy(KEY).count().where(F.col(KEY).isNull() | (F.col("count") > 1)).first()
+    if bad is not None:
+        raise ValueError(f"{KEY} {bad[KEY]!r} identifies {bad['count']} rows")
 
 
 def write_prepared(prepared: DataFrame, path: str) -> None:
     """One folder per year of the order date, so that readers skip the years they do not ask for.
 
     Rows are brought together by year before writing, which avoids a small file per task and year.
-    Rebalancing lets adaptive execution cut a large year into several tasks and files.
+    Rebalancing lets adaptive execution cut a large year into several tasks and files. The keys are checked once
+    on what was written, reading the key column alone.
     """
     prepared.hint("rebalance", "orderYear").write.mode("overwrite").partitionBy("orderYear").parquet(path)
+    require_unique_keys(prepared.sparkSession.read.parquet(path))
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:

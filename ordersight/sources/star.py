@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 RAW_CTES = """
 b AS (
-  SELECT concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey) AS orderLineId,
+  SELECT concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey,'-',CAST(l_shipdate AS DATE)) AS orderLineId,
          CAST(o_orderdate AS DATE) AS od, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag,
          p_name, p_type, s_nationkey, c_nationkey,
          CAST((l_orderkey*31 + l_partkey*17 + l_suppkey*13 + l_linenumber*7) % 10007 AS INT) AS h

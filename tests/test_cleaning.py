@@ -97,3 +97,27 @@ def test_csv_years_and_prepared_table(spark, raw, tmp_path):
     out = str(tmp_path / "out")
     O.write_prepared(clean(lines), out)
     assert O.read_prepared(spark, out).where("orderYear = 2020").count() == 2
+
+
+def test_keyless_exports_get_different_keys(spark, raw, tmp_path):
+    paths = [str(tmp_path / name) for name in ("a", "b")]
+    for p in paths:
+        raw(*[{"totalPrice": float(k)} for k in range(5)]).drop("orderLineId").coalesce(1).write.csv(p, header=True)
+    back = O.read_csv_years(spark, paths)
+    assert back.count() == 10 and back.select("orderLineId").distinct().count() == 10
+
+
+def test_repeated_keys_fail_when_written(raw, tmp_path):
+    lines = raw({"orderLineId": "k"}, {"orderLineId": "k"}, {"orderLineId": "m"})
+    with pytest.raises(ValueError, match="'k' identifies 2 rows"):
+        O.write_prepared(clean(lines), str(tmp_path / "out"))
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ordersight.session import shared_folder
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
