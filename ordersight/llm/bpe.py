@@ -8,75 +8,130 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHED_PIECES = 300_000
-CACHED_IDS = 4_000_000
+CACHED_PIECES = 600_000
+PIECES_AT_ONCE = 20_000
 
 
 def _printing(c: str) -> bool:
     return "!" <= c <= "~" or c > "\x7f" and c.isalnum()
 
 
-class PieceEncoder:
-    """Encodes lists of texts into flat ids and a length per text."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+class _Store:
+    """Numbered pieces with their ids; what is new in a batch is encoded at its end."""
 
-    def _clear(self) -> None:
-        self.after_space: dict[str, int] = {}
-        self.whole: dict[str, int] = {}
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.sizes = np.zeros(0, np.int64)
-        self.known = 0
+        self.new: list[str] = []
 
-    def _number(self, table: dict[str, int], key: str, piece: str, new: list[str]) -> int:
-        found = table.get(key)
+    def of(self, key: str) -> int:
+        found = self.number.get(key)
         if found is None:
-            found = table[key] = self.known
-            self.known += 1
-            new.append(piece)
+            found = self.number[key] = len(self.sizes) + len(self.new)
+            self.new.append(key)
         return found
 
-    def _pieces(self, text: str, new: list[str]) -> list[int]:
+    def add(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        self.ids, self.sizes = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
+
+    def settle(self, most: int) -> bool:
+        """Forget the pieces of this batch if the store would outgrow its bound; the frequent ones are in it."""
+        kept, full = len(self.sizes) - len(self.new), len(self.sizes) > most
+        if full:
+            for key in self.new:
+                del self.number[key]
+            self.ids, self.sizes = self.ids[:self.sizes[:kept].sum()], self.sizes[:kept]
+        self.new = []
+        return full
+
+
+class PieceEncoder:
+    """Encodes lists of texts into flat ids and a length per text."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.spaced = _Store()  # a space and a word, which stand for themselves anywhere
+        self.lined: list[str] = []
+        self.other = _Store()  # beginnings of texts, and pieces with other white space
+
+    def _pieces(self, text: str) -> list[int]:
+        """Numbers of the pieces of a text; those of the second store count down from -1."""
         parts = text.split(" ")
-        found = list(map(self.after_space.get, parts))
-        found[0] = self.whole.get(parts[0]) if parts[0] and _printing(parts[0][-1]) else None
+        found = list(map(self.spaced.number.get, parts))
+        found[0] = -1 - self.other.of(parts[0]) if parts[0] and _printing(parts[0][-1]) else None
         if None not in found:
             return found
+        if found[0] is not None:
+            missing = [k for k, n in enumerate(found) if n is None]
+            if all(parts[k] and _printing(parts[k][0]) and _printing(parts[k][-1]) for k in missing):
+                for k in missing:
+                    w = parts[k]
+                    found[k] = self._lined(w) if "\n" in w else self.spaced.of(w)
+                return found
+        return self._slowly(parts)
+
+    def _lined(self, word: str) -> int:
+        """A word with a line break is kept in the second store, and found under its name in the first."""
+        found = self.spaced.number[word] = -1 - self.other.of(" " + word)
+        self.lined.append(word)
+        return found
+
+    def _slowly(self, parts: list[str]) -> list[int]:
         out, open_parts = [], [parts[0]]
-        for part, known in zip(parts[1:], found[1:], strict=True):
+        for part in parts[1:]:
             last = open_parts[-1]
-            if not (last and _printing(last[-1])) or known is None and not (part and _printing(part[0])):
+            if last and _printing(last[-1]) and part and _printing(part[0]):
+                self._flush(open_parts, out)
+                open_parts = [None, part]  # None: a space stands in front
+            else:
                 open_parts.append(part)
-                continue
-            self._flush(open_parts, out, new)
-            open_parts = [None, part]  # None: a space stands in front
-        self._flush(open_parts, out, new)
+        self._flush(open_parts, out)
         return out
 
-    def _flush(self, parts: list, out: list[int], new: list[str]) -> None:
-        if parts[0] is None and len(parts) == 2 and _printing(parts[1][-1]):
-            out.append(self._number(self.after_space, parts[1], " " + parts[1], new))
+    def _flush(self, parts: list, out: list[int]) -> None:
+        if parts[0] is None and len(parts) == 2 and _printing(parts[1][-1]) and "\n" not in parts[1]:
+            out.append(self.spaced.of(parts[1]))
             return
         piece = " ".join("" if p is None else p for p in parts)
         if piece:
-            out.append(self._number(self.whole, piece, piece, new))
+            out.append(-1 - self.other.of(piece))
+
+    def _encode_new(self) -> None:
+        """Encode what is new: many words as the lines of one text, the rest one by one.
+
+        The tokenizer makes a token of its own of a line break before a space, which ends a word here.
+        """
+        new = self.spaced.new
+        ids, sizes = [], []
+        for lo in range(0, len(new), PIECES_AT_ONCE):
+            some = new[lo:lo + PIECES_AT_ONCE]
+            text = " " + "\n ".join(some) + "\n "
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids[:-1], np.uint32)
+            ends = np.flatnonzero(found == self.line_end)
+            ids.append(np.delete(found, ends))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        self.spaced.add(ids, sizes)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(self.other.new, add_special_tokens=False)]
+        self.other.add([np.array([i for e in rest for i in e], np.uint32)], [np.array(list(map(len, rest)), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.known > CACHED_PIECES or len(self.ids) > CACHED_IDS:
-            self._clear()
-        new: list[str] = []
-        rows = [self._pieces(t, new) for t in texts]
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, encoded), np.int64, len(encoded))])
-            self.ids = np.concatenate([self.ids, *(np.array(e, np.uint32) for e in encoded)])
-        offsets = np.cumsum(self.sizes) - self.sizes
+        rows = [self._pieces(t) for t in texts]
+        self._encode_new()
+        a, b = self.spaced, self.other
+        sizes = np.concatenate([a.sizes, b.sizes[::-1]])
+        offsets = np.concatenate([np.cumsum(a.sizes) - a.sizes, (np.cumsum(b.sizes) - b.sizes + len(a.ids))[::-1]])
+        ids = np.concatenate([a.ids, b.ids])
         at = np.fromiter((p for r in rows for p in r), np.int64, sum(map(len, rows)))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(offsets[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        flat = ids[np.repeat(offsets[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+        a.settle(CACHED_PIECES)
+        if b.settle(CACHED_PIECES // 4):
+            for word in self.lined:
+                del a.number[word]
+        self.lined = []
         return flat, np.diff(upto)
