@@ -71,34 +71,43 @@ def read_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(frame, "<u4", docs, 12).astype(np.int64), unpack(frame[at:at + ctrl], frame[at + ctrl:], n)
 
 
-def _encoded(path: str, end: int):
+def width(path: str) -> str:
+    """The narrowest unsigned type that holds all ids of a vocabulary."""
+    from tokenizers import Tokenizer
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _encoded(path: str, end: int, kind: str):
+    """Rows (doc_id, ids, null), and at the end of a task one row (null, null, its counts of all ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(path)
+        total = np.zeros(0, np.int64)
+        names = ["doc_id", "ids", "counts"]
         for whole in batches:
             for lo in range(0, whole.num_rows, DOCS_AT_ONCE):
                 batch = whole.slice(lo, DOCS_AT_ONCE)
                 ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
                 ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, end).astype("<u4")
+                ids = np.insert(ids, ends, end)
+                found = np.bincount(ids, minlength=len(total))
+                found[:len(total)] += total
+                total = found
                 ends = ends + np.arange(1, len(ends) + 1)
-                rows = [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
-                yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+                rows = [x.tobytes() for x in np.split(ids.astype(kind), ends[:-1])]
+                yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], names)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
     return run
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            found = np.bincount(np.frombuffer(ids, "<u4"))
-            if len(found) > len(total):
-                total, found = found, total
-            total[:len(found)] += found
-    met = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(met), pa.array(total[met])], ["id", "n"])
+        for counts in batch.column(0).to_pylist():
+            n = np.frombuffer(counts, np.int64)
+            met = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(met), pa.array(n[met])], ["id", "n"])
 
 
-def _framed(rank: np.ndarray):
+def _framed(rank: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_no, frame_no, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
@@ -115,7 +124,7 @@ def _framed(rank: np.ndarray):
         for batch in batches:
             for doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs.append(doc_id)
-                parts.append(rank[np.frombuffer(ids, "<u4")])
+                parts.append(rank[np.frombuffer(ids, kind)])
                 held += len(parts[-1])
                 if held >= FRAME_TOKENS:
                     yield flush()
@@ -146,8 +155,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> No
     row per id of the vocabulary at most, which bounds what the driver reads and the tasks are sent. Other
     columns are left out; an empty table gives no frames.
     """
-    ids = durable(docs.select("doc_id", "text").mapInArrow(_encoded(tokenizer_path, end), "doc_id long, ids binary"))
-    counts = ids.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    kind = width(tokenizer_path)
+    encoded = durable(docs.select("doc_id", "text").mapInArrow(
+        _encoded(tokenizer_path, end, kind), "doc_id long, ids binary, counts binary"))
+    ids = encoded.where("counts IS NULL").select("doc_id", "ids")
+    counts = encoded.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranking = counts.orderBy(F.desc("n"), "id").select("id").collect()
     id_of_rank = np.array([r["id"] for r in ranking], np.int64)
     rank = np.zeros(int(id_of_rank.max(initial=0)) + 1, np.uint32)
@@ -157,7 +169,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> No
         f"{path}/ranking")
     files = max(12, -(-ids.count() // DOCS_PER_FILE))
     (ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-     .mapInArrow(_framed(rank), "file_no int, frame_no int, before long, tokens long, doc_ids array<long>, frame binary")
+     .mapInArrow(_framed(rank, kind), "file_no int, frame_no int, before long, tokens long, doc_ids array<long>, frame binary")
      .write.parquet(f"{path}/frames"))
 
 
