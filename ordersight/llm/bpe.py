@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHED_PIECES = 350_000
+CACHED_PIECES = 150_000
 PIECES_AT_ONCE = 20_000
 
 
