@@ -32,7 +32,7 @@ BEGINNINGS = (4, 5)
 STEPS = 25
 LEAST_DOCS = 3
 LEAST_LOG_ODDS = 2.5
-ROWS_AT_ONCE = 2000
+ROWS_AT_ONCE = 1000
 CACHED_WORDS = 200_000
 WORD = re.compile(r"\w+")
 ODDS = 12.0
@@ -217,7 +217,7 @@ def _spans(text: str, odds: np.ndarray) -> list[dict]:
     return [{"start": places[i][0], "end": places[i][1]} for i in np.flatnonzero(odds >= 0) if i < len(places)]
 
 
-def _scored(tagger: Tagger):
+def _scored(tagger: Tagger, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_AT_ONCE):  # few texts are held as strings at a time
@@ -227,9 +227,9 @@ def _scored(tagger: Tagger):
                 parts = np.split(odds, np.cumsum(sizes)[:-1])
                 spans = [_spans(t or "", o) if len(o) and o.max() >= 0 else [] for t, o in zip(texts, parts, strict=True)]
                 yield pa.record_batch([
-                    batch.column(0), pa.array(score),
+                    *batch.columns[:1 + back], pa.array(score),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    ["key", "score", "spans"])
+                    [*batch.schema.names[:1 + back], "score", "spans"])
     return run
 
 
@@ -245,11 +245,13 @@ def scored(docs: DataFrame, tagger: Tagger, columns: list[str]) -> DataFrame:
     Null and empty texts have no tokens and the lowest score. Rows are scored one by one: repeated rows agree,
     and nothing is shuffled. An empty table gives an empty one; without labels of both classes all scores are 0.
     """
-    rows = docs.select(F.struct(*columns).alias("key"), "text")
-    schema = T.StructType([rows.schema["key"], T.StructField("score", T.DoubleType()), T.StructField(
+    sent = [c for c in columns if c != "text"]
+    rows = docs.select(F.struct(*sent).alias("key") if sent else F.struct(F.lit(0)).alias("key"), "text")
+    back = "text" in columns  # the text travels once each way, and back only where it is asked for
+    schema = T.StructType([*rows.schema.fields[:1 + back], T.StructField("score", T.DoubleType()), T.StructField(
         "spans", T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end")])))])
-    out = rows.mapInArrow(_scored(tagger), schema)
-    return out.select("key.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
+    out = rows.mapInArrow(_scored(tagger, back), schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"key.`{c}`") for c in columns), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
