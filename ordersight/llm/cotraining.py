@@ -137,8 +137,8 @@ def fit(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int
 
 
 def _views(rows: list, words: Words) -> list[np.ndarray]:
-    return [np.array([text_view(t, words) for t, _, _ in rows]).reshape(len(rows), -1),
-            np.array([metadata_view(t, s, g) for t, s, g in rows]).reshape(len(rows), -1)]
+    return [np.array([text_view(t, words) for t, _, _ in rows]).reshape(len(rows), BUCKETS + 6),
+            np.array([metadata_view(t, s, g) for t, s, g in rows]).reshape(len(rows), 2 * CATEGORIES + 5)]
 
 
 def _scored(model: Model):
