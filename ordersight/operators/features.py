@@ -183,18 +183,21 @@ FLAG_SOURCES = ["caseDays", "returnDays", "cancellationDays", "actualDeliveryDay
 
 
 def feature_base(prepared: DataFrame, days: list[int]) -> DataFrame:
-    """Every order line with what all requested days need: the rows are shuffled once for all X."""
+    """The order lines that can be complete on some day, with what all requested days need.
+
+    The rows are shuffled once for all X. Lines without product, seller, label or another feature that
+    does not depend on the day are left out before the shuffles; the histories still see them.
+    """
     rows = prepared.select(V.KEY, V.DATE, V.LABEL, *CARRIED, *FLAG_SOURCES,
                            "productId", *V.HISTORY_VARIABLES)
+    for c in [V.KEY, V.DATE, V.LABEL, *V.BASIC, *V.YEAR, "productId", "sellerId"]:
+        rows = rows.where(F.col(c).isNotNull())
     rows = _attach(rows, outcome_history(prepared, "transporterCode", days),
                    key_of("transporterCode"), small=True)
     rows = _attach(rows, outcome_history(prepared, "productGroup", days),
                    key_of("productGroup"), small=True)
     rows = _attach(rows, product_history(prepared, days), F.col("productId"))
-    rows = _attach(rows, seller_history(prepared, days), key_of("sellerId"))
-    # A missing seller has outcome shares, but no rate.
-    return rows.withColumns({f"seller_{x}": F.when(F.col("sellerId").isNotNull(), F.col(f"seller_{x}"))
-                             for x in days})
+    return _attach(rows, seller_history(prepared, days), key_of("sellerId"))
 
 
 def _static_columns() -> list[Column]:
@@ -213,16 +216,22 @@ def _day_columns(days_after: int) -> list[Column]:
     return [dynamic[f].alias(f) for f in V.FEATURES if f in dynamic]
 
 
-def matrix_of_day(base: DataFrame, days_after: int) -> DataFrame:
-    """Key, date, 69 features and label of one day; lines with any of them missing are left out."""
-    return complete_rows(base.select(V.KEY, V.DATE, *_static_columns(), *_day_columns(days_after), V.LABEL))
+def matrix_of_day(base: DataFrame, days_after: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Key, date, 69 features and label of one day; lines with any of them missing are left out.
+
+    Columns named in ``carried`` go along as they are.
+    """
+    return complete_rows(base.select(V.KEY, V.DATE, *_static_columns(), *_day_columns(days_after), V.LABEL,
+                                     *carried), carried)
 
 
-def complete_rows(df: DataFrame) -> DataFrame:
-    """Rows without NULL or NaN. One condition per column: a single one over all columns, as na.drop
-    builds it, makes the optimizer derive a variant for every combination of later aliases."""
+def complete_rows(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """Rows without NULL or NaN outside ``but``. One condition per column: a single one over all columns, as
+    na.drop builds it, makes the optimizer derive a variant for every combination of later aliases."""
     conditions = []
     for f in df.schema:
+        if f.name in but:
+            continue
         conditions.append(F.col(f"`{f.name}`").isNotNull())
         if f.dataType.typeName() in ("double", "float"):
             conditions.append(~F.isnan(f"`{f.name}`"))

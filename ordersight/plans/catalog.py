@@ -23,7 +23,6 @@ from ordersight.operators import splits as S
 from ordersight.operators import thresholds as TH
 from ordersight.operators.classifier import HierarchicalEstimator, HierarchicalModel
 from ordersight.operators.hierarchy import ClassTree, class_weights, orders_per_node, stage_targets
-from ordersight.operators.models import Spec
 from ordersight.operators.scaling import bounds, minmax_scaled
 from ordersight.plans import baselines as B
 from ordersight.plans import search as SE
@@ -38,6 +37,8 @@ FLAGS = C.CalendarFlags(datetime.date.fromisoformat(star.FLAG_AFTER), star.FLAG_
 TREE = ClassTree.satisfaction()
 DAYS = list(range(V.LAST_DAY + 1))
 LOOK_AHEAD = [1, 5, 10]
+#: Labelled rows that each model of the queries is fitted to, about. Scores and thresholds use all rows.
+TRAIN_ROWS = 10_000
 # Thresholds of the queries that route the stand-in scores.
 FIXED = {"UNKNOWN": 0.55, "KNOWN": 0.6, "HAPPY": 0.6, "UNHAPPY": 0.55, "MILDLY UNHAPPY": 0.35,
          "MEDIUM UNHAPPY": 0.35, "HEAVILY UNHAPPY": 0.45}
@@ -72,24 +73,24 @@ def _prepared(spark: SparkSession, folder: str) -> DataFrame:
 
 @cache
 def _day_data(spark: SparkSession, folder: str) -> D.DayData:
-    return D.DayData.build(_prepared(spark, folder), [0, 5, 10])
+    return D.DayData.build(_prepared(spark, folder), DAYS)
 
 
-def small_specs(day: int) -> dict[str, Spec]:
-    """Small models: the queries show the work around the fit, not the best fit."""
-    return {"ORDERS": Spec("LR", penalty="l2", iterations=10), "KNOWN": Spec("RF", depth=5, trees=5),
-            "UNHAPPY": Spec("RF", depth=5, trees=5)}
+@cache
+def _model(spark: SparkSession, folder: str) -> HierarchicalModel:
+    data = _day_data(spark, folder)
+    return HierarchicalEstimator(TREE, D.tree_specs(5)).fit(data.train(5, TRAIN_ROWS))
 
 
-def small_flat_specs(day: int) -> dict[str, Spec]:
-    return {V.ROOT: Spec("LR", iterations=10) if day < V.FLAT_FOREST_FROM_DAY
-            else Spec("RF", depth=5, trees=5)}
+@cache
+def _dynamic(spark: SparkSession, folder: str) -> D.Run:
+    """All days with the settings chosen for each."""
+    return D.dynamic(_day_data(spark, folder), DAYS, train_rows=TRAIN_ROWS)
 
 
 @cache
-def _model(spark: SparkSession, folder: str) -> HierarchicalModel:
-    data = _day_data(spark, folder)
-    return HierarchicalEstimator(TREE, small_specs(5)).fit(data.train(5))
+def _flat(spark: SparkSession, folder: str) -> D.Run:
+    return B.flat(_day_data(spark, folder), DAYS, train_rows=TRAIN_ROWS)
 
 
 @cache
@@ -290,7 +291,7 @@ def _predicted(thresholds) -> Query:
         model, data = _model(spark, folder), _day_data(spark, folder)
         limits = thresholds
         if thresholds == "learned":
-            limits = TH.as_dict(TH.learn(model.scores(data.train(5)), TREE, label=V.LABEL))
+            limits = TH.as_dict(TH.learn(model.scores(data.train(5)), TREE, label=V.LABEL))  # all training rows
         return model.predict(data.held_out(5), limits).select(V.KEY, F.col(V.LABEL).alias("label"), "pred")
     return query
 
@@ -300,35 +301,38 @@ def hc_probabilities(spark, folder):
 
 
 def feature_importances(spark, folder):
-    return portable(spark.createDataFrame(
-        [(5, *w) for w in _model(spark, folder).importances()],
-        "day int, stage string, feature string, value double"))
+    """Importances of every stage on every day."""
+    return portable(_dynamic(spark, folder).importances)
 
 
 def dynamic_hcot(spark, folder):
-    run = D.dynamic(_day_data(spark, folder), [0, 5, 10], small_specs)
-    return portable(D.dynamic_metrics(run))
+    return portable(D.dynamic_metrics(_dynamic(spark, folder)))
 
 
 def static_baseline(spark, folder):
-    return portable(B.static_metrics(B.static(_day_data(spark, folder), [0, 5, 10], small_specs)))
+    return portable(B.static_metrics(B.static(_day_data(spark, folder), DAYS, train_rows=TRAIN_ROWS)))
 
 
 def flat_baseline(spark, folder):
-    return portable(B.flat_metrics(B.flat(_day_data(spark, folder), [0, 5, 10], small_flat_specs)))
+    return portable(B.flat_metrics(_flat(spark, folder)))
 
 
-SMALL_SPACE = {"LR": {"penalty": ["l1", "l2"], "iterations": [5]}, "RF": {"depth": [3, 4], "trees": [3]}}
+def flat_final_scores(spark, folder):
+    return portable(B.final_scores(_flat(spark, folder)))
 
 
-def search_tree(spark, folder):
-    return portable(SE.tree_search(_prepared(spark, folder), [5], [("LR", "RF", "RF"), ("RF", "LR", "RF")],
-                                   trials=2, sample_rows=None, space=SMALL_SPACE))
+def search_tree_day5_two_trials(spark, folder):
+    """A part of the search, as the name says: one day, two combinations, two trials of each."""
+    lines = _prepared(spark, folder)
+    return portable(SE.tree_search(lines, [5], [("LR", "RF", "RF"), ("RF", "LR", "RF")], trials=2,
+                                   sample_rows=lines.count() // 4, path=scratch_path(spark, "search")))
 
 
-def search_flat(spark, folder):
-    return portable(SE.flat_search(_prepared(spark, folder), [5], trials=2, sample_rows=None,
-                                   space=SMALL_SPACE))
+def search_flat_day5_two_trials(spark, folder):
+    """A part of the search, as the name says: one day, two trials of each kind."""
+    lines = _prepared(spark, folder)
+    return portable(SE.flat_search(lines, [5], trials=2, sample_rows=lines.count() // 4,
+                                   path=scratch_path(spark, "search")))
 
 
 QUERIES: dict[str, Query] = {
@@ -399,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "dynamic_hcot": dynamic_hcot,
     "static_baseline": static_baseline,
     "flat_baseline": flat_baseline,
-    "search_tree": search_tree,
-    "search_flat": search_flat,
+    "flat_final_scores": flat_final_scores,
+    "search_tree_day5_two_trials": search_tree_day5_two_trials,
+    "search_flat_day5_two_trials": search_flat_day5_two_trials,
 }
