@@ -3,7 +3,8 @@
 Every whole text is measured once: its base counts, and with a public vocabulary the characters per token, the
 share of byte-fallback tokens and the entropy of its tokens. The limits of a language are a band around its
 median, as wide as `WIDTH` robust standard deviations of all its documents; texts without a language are judged
-by their most frequent script. A text fails outside the band of its group, or by the base rules.
+by their most frequent script. Short texts have wider bands. A text fails outside the band of its group, or by
+the base rules.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from ordersight.llm.common import durable, sized
 
 #: Width of a band in robust standard deviations, and the least spread that each measure is given.
-WIDTH = 8.0
-LEAST_SPREAD = {"chars_per_token": 0.15, "byte_share": 0.02, "entropy_gap": 0.3}
-#: Shorter texts are measured too, but their rates say too little to reject them.
+WIDTH = {"chars_per_token": 4.0, "byte_share": 4.0, "entropy_gap": 3.0}
+LEAST_SPREAD = {"chars_per_token": 0.03, "byte_share": 0.004, "entropy_gap": 0.06}
+#: Rates of shorter texts scatter more: they make no band, and theirs is wider by `SHORT` and the root of what they lack.
 LEAST_TOKENS = 50
+SHORT = 2.0
 WORDS_PER_WINDOW = 5
 CACHED_WORDS = 300_000
 
@@ -134,31 +136,41 @@ def measured(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Per group: low and high limit of each measure, over all its texts of `LEAST_TOKENS` or more tokens."""
-    long = rows.where(F.col("n_tokens") >= LEAST_TOKENS)
-    found = long.groupBy("band").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(c) for c in LEAST_SPREAD))
+    """Per group: middle and half width of each measure, over its texts of `LEAST_TOKENS` or more tokens.
+
+    A group without such a text is measured over all its texts.
+    """
+    quartiles = []
+    for c in LEAST_SPREAD:
+        of_long, of_all = (F.percentile_approx(x, [0.25, 0.5, 0.75]) for x in (F.when(F.col("n_tokens") >= LEAST_TOKENS, F.col(c)), F.col(c)))
+        quartiles.append(F.coalesce(of_long, of_all).alias(c))
+    found = rows.where(F.col("n_tokens") > 0).groupBy("band").agg(*quartiles)
     limits = []
     for c, least in LEAST_SPREAD.items():
-        spread = F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(least)) * WIDTH
-        limits += [(F.col(c)[1] - spread).alias(f"{c}_low"), (F.col(c)[1] + spread).alias(f"{c}_high")]
+        spread = F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(least))
+        limits += [F.col(c)[1].alias(f"{c}_middle"), (spread * WIDTH[c]).alias(f"{c}_width")]
     return found.select(F.col("band").alias("_band"), *limits)
 
 
 def quality(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Every row with its counts, measures, `base_failed` and `kept`.
 
-    Null and empty texts have no words and fail the base rules. Texts of fewer than `LEAST_TOKENS` tokens, and
-    of groups without any longer text, are judged by the base rules alone. Repeated rows agree; a language of
-    any share of the rows is one row of the bands, which join by broadcast below a size bound. Other columns are
-    left out; an empty table gives an empty one.
+    Null and empty texts have no words and fail the base rules. Repeated rows agree; a language of any share of
+    the rows is one row of the bands, which join by broadcast below a size bound. Other columns are left out; an
+    empty table gives an empty one.
     """
     rows = durable(measured(docs, vocabulary_path))
     limits = sized(bands(rows), 200)
     joined = rows.join(limits, rows["band"] == limits["_band"], "left")
+    n = F.col("n_tokens")
+    wider = F.when(n >= LEAST_TOKENS, F.lit(1.0)).otherwise(SHORT * F.sqrt(LEAST_TOKENS / F.greatest(n, F.lit(1))))
     outside = F.lit(False)
     for c in LEAST_SPREAD:
-        outside = outside | (F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high"))
-    out_of_band = F.coalesce((F.col("n_tokens") >= LEAST_TOKENS) & outside, F.lit(False))
+        off = F.col(c) - F.col(f"{c}_middle")
+        # Few tokens hardly repeat, so a low gap says nothing against a short text.
+        off = F.when(n >= LEAST_TOKENS, F.abs(off)).otherwise(off) if c == "entropy_gap" else F.abs(off)
+        outside = outside | (off > F.col(f"{c}_width") * wider)
+    out_of_band = F.coalesce(outside, F.lit(False))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return joined.select(
         *rows.columns, failed.alias("base_failed"), (~failed & ~out_of_band).alias("kept"))

@@ -132,3 +132,16 @@ def test_chain_marginals_equal_all_paths():
                 total[a, b] += x
         at += n
     assert np.allclose(odds, want) and np.allclose(pairs, total)
+
+
+def test_gibberish_is_outside_the_bands(spark):
+    """Planted texts without words of the language, long and short, go; texts of the language stay, short ones too."""
+    rng = np.random.default_rng(3)
+    words = "the house of a good friend was near water and many people came there with children every summer day".split()
+    good = [" ".join(rng.choice(words, 200)) for _ in range(40)] + [" ".join(words[:14])]
+    bad = [" ".join("".join(rng.choice(list("qxzjkvw"), 6)) for _ in range(n)) for n in (200, 12)]
+    rows = [(k, t, "en") for k, t in enumerate(good + bad)]
+    found = fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [k for k, r in sorted(got.items()) if not r["kept"]] == [41, 42]
