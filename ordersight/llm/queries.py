@@ -85,6 +85,11 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_chunks.without_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
@@ -97,7 +102,7 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_pivots, op2_toxicity_crf, op3_quality_cotraining, op4_entropy_balancing, op5_tokeniser_fertility,
     op6_pii_semi_markov, op7_prefix_filter_decontamination, op8_token_files, op9_line_chunks,
-    op10_hypergeometric_shards)}
+    op9_line_passages, op10_hypergeometric_shards)}
 
 _DECONTAMINATION = r"""
 WITH doc AS (

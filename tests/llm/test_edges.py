@@ -145,3 +145,43 @@ def test_gibberish_is_outside_the_bands(spark):
     got = {r["doc_id"]: r for r in found.collect()}
     assert not any(r["base_failed"] for r in got.values())
     assert [k for k, r in sorted(got.items()) if not r["kept"]] == [41, 42]
+
+
+def slow_passages(rows):
+    """Numbers of removed lines per (id, text), from all pairs of equal runs of lines, grown as far as they go."""
+    lines = [(d, t, i, x, len(x.split())) for d, t in dict.fromkeys(rows) for i, x in enumerate(t.split("\n")) if x.split()]
+    gone = set()
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            n = words = 0
+            while (b + n < len(lines) and lines[a + n][:2] == lines[a][:2] and lines[b + n][:2] == lines[b][:2]
+                   and lines[a + n][3] == lines[b + n][3]):
+                words += lines[b + n][4]
+                n += 1
+            if words > 50:
+                gone |= {(*lines[b][:2], i) for i in range(lines[b][2], lines[b + n - 1][2] + 1)}
+    return gone
+
+
+def test_passages_of_few_lines(spark):
+    """Passages of 1 to 4 lines, blocks of one repeated line, and random mixes of lines equal those of all pairs."""
+    rng = np.random.default_rng(9)
+    def line(n):
+        return " ".join(f"w{rng.integers(1000)}" for _ in range(n))
+    passages = ["\n".join(line(60 // n + 1) for _ in range(n)) for n in (1, 2, 3, 4)] + ["\n".join([line(20)] * 6)]
+    pool = [line(int(n)) for n in rng.integers(1, 40, 12)] + ["", " "]
+    rows = [(k, "\n".join([line(5), p, line(5)])) for k, p in enumerate(passages * 3)]
+    rows += [(20 + k, "\n".join(rng.choice(pool, 12))) for k in range(25)] + [(50, ""), (51, "\n \n")]
+    found = line_chunks.without_passages(spark.createDataFrame(rows + rows[-3:], "doc_id long, text string")).collect()
+    gone, got = slow_passages(rows), {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows) + 3
+    for d, t in rows:
+        kept = [x for i, x in enumerate(t.split("\n")) if (d, t, i) not in gone]
+        assert got[d]["kept_text"] == "\n".join(kept) and got[d]["n_removed_lines"] == t.count("\n") + 1 - len(kept)
+    assert all(got[k]["n_removed_lines"] == rows[k][1].count("\n") - 1 for k in range(5, 15))
+
+
+def test_passages_of_odd_rows(docs):
+    found = line_chunks.without_passages(docs).collect()
+    assert sorted(r["doc_id"] or 0 for r in found) == [0, 0, 1, 2, 3, 4, 4, 5] and all(r["n_removed_lines"] == 0 for r in found)
+    assert line_chunks.without_passages(docs.limit(0)).count() == 0
