@@ -323,18 +323,26 @@ def flat_final_scores(spark, folder):
 
 def search_tree_day5_two_trials(spark, folder):
     """A part of the search, as the name says: one day, two combinations, two trials of each."""
-    lines = _prepared(spark, folder)
-    return portable(SE.tree_search(lines, [5], [("LR", "RF", "RF"), ("RF", "LR", "RF")], trials=2,
-                                   sample_rows=lines.count() // 4, path=scratch_path(spark, "search")))
+    return portable(SE.tree_search(_prepared(spark, folder), [5], [("LR", "RF", "RF"), ("RF", "LR", "RF")], trials=2,
+                                   sample_rows=None, path=scratch_path(spark, "search")))
 
 
 def search_flat_day5_two_trials(spark, folder):
     """A part of the search, as the name says: one day, two trials of each kind."""
-    lines = _prepared(spark, folder)
-    return portable(SE.flat_search(lines, [5], trials=2, sample_rows=lines.count() // 4,
+    return portable(SE.flat_search(_prepared(spark, folder), [5], trials=2, sample_rows=None,
                                    path=scratch_path(spark, "search")))
 
 
+def search_tree(spark, folder):
+    """The whole search: all days, combinations and trials, on the sample of the library."""
+    return portable(SE.tree_search(_prepared(spark, folder), path=scratch_path(spark, "search")))
+
+
+def search_flat(spark, folder):
+    """The whole search for the flat decision."""
+    return portable(SE.flat_search(_prepared(spark, folder), path=scratch_path(spark, "search")))
+
+
 QUERIES: dict[str, Query] = {
     "scan_orders": scan_orders,
     "union_years": union_years,
@@ -406,4 +414,6 @@ QUERIES: dict[str, Query] = {
     "flat_final_scores": flat_final_scores,
     "search_tree_day5_two_trials": search_tree_day5_two_trials,
     "search_flat_day5_two_trials": search_flat_day5_two_trials,
+    "search_tree": search_tree,
+    "search_flat": search_flat,
 }

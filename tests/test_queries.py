@@ -32,3 +32,30 @@ def test_query_equals_sql(spark, tables, name):
     got, want = entry.queries()[name](spark, str(FOLDER)).toPandas(), tables.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
+
+
+def test_searches_are_whole(monkeypatch):
+    """The registered searches leave days, combinations, trials and the sample to the library; the parts take all rows."""
+    import inspect
+
+    from ordersight.functions import values as V
+    from ordersight.plans import catalog
+    asked = {}
+    for name in ("tree_search", "flat_search"):
+        whole = inspect.signature(getattr(catalog.SE, name))
+
+        def seen(*args, whole=whole, name=name, **kwargs):
+            bound = whole.bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+        monkeypatch.setattr(catalog.SE, name, seen)
+    monkeypatch.setattr(catalog, "_prepared", lambda spark, folder: "all lines")
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: None)
+    monkeypatch.setattr(catalog, "portable", lambda df: df)
+    for query, name in (("search_tree", "tree_search"), ("search_flat", "flat_search")):
+        entry.queries()[query](None, "")
+        got = asked[name]
+        assert (got["prepared"], got["days"], got["trials"], got["sample_rows"]) == (
+            "all lines", None, V.SEARCH_TRIALS, V.SEARCH_SAMPLE_ROWS) and got["combinations" if "tree" in name else "kinds"] in (None, ("RF", "LR"))
+        entry.queries()[f"{query}_day5_two_trials"](None, "")
+        assert asked[name]["sample_rows"] is None
