@@ -39,7 +39,10 @@ ODDS = 12.0
 
 
 def tokens(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = text or ""
+    low = text.lower()
+    # Where lower-casing changes the length, tokens keep the places that they have in the text.
+    return WORD.findall(low) if len(low) == len(text) else [x.lower() for x in WORD.findall(text)]
 
 
 def units(word: str) -> list[str]:

@@ -194,3 +194,11 @@ def test_blocks_of_one_repeated_line(spark):
     got = {r["doc_id"]: r for r in line_chunks.without_passages(rows).collect()}
     assert got[0]["n_removed_lines"] == 0
     assert all(got[k]["kept_text"] == f"start {k}\nend {k}" and got[k]["n_removed_lines"] == 8 for k in (1, 2, 3))
+
+
+def test_tokens_have_their_places():
+    """Lower-casing makes two characters of a capital I with dot; spans stay on their tokens."""
+    text = "\u0130yi \u0130\u0130 Bad WORD end"
+    found = toxicity.tokens(text)
+    spans = toxicity._spans(text, np.zeros(len(found)))
+    assert [text[s["start"]:s["end"]].lower() for s in spans] == found
