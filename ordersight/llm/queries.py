@@ -10,9 +10,10 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import (cotraining, decontaminate, fertility, line_chunks, mixing, pii, sharding, simhash,
-                            token_files, toxicity)
+from ordersight.llm import (chat, cotraining, decontaminate, fertility, line_chunks, mixing, pii, resampling, sharding,
+                            simhash, token_files, toxicity, whitening)
 from ordersight.llm.common import durable, table
+from ordersight.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,10 +100,34 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: A conversation whose texts hold control strings of the template.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return chat.read_back(written(chat.formatted(given.unionByName(probe)), "chat"))
+
+
+def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    explained = F.lit((model.values / model.trace).tolist() if len(model.values) else []).cast("array<double>")
+    return rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("_k", "whitened")).select(
+        "vec_id", (F.col("_k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("_k")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_pivots, op2_toxicity_crf, op3_quality_cotraining, op4_entropy_balancing, op5_tokeniser_fertility,
     op6_pii_semi_markov, op7_prefix_filter_decontamination, op8_token_files, op9_line_chunks,
-    op9_line_passages, op10_hypergeometric_shards)}
+    op9_line_passages, op10_hypergeometric_shards, op11_prefix_crc_resampling, op12_incremental_chat,
+    op13_refined_whitening)}
 
 _DECONTAMINATION = r"""
 WITH doc AS (
