@@ -75,8 +75,10 @@ class PieceEncoder:
 
     def _lined(self, word: str) -> int:
         """A word with a line break is kept in the second store, and found under its name in the first."""
-        found = self.spaced.number[word] = -1 - self.other.of(" " + word)
-        self.lined.append(word)
+        found = self.spaced.number.get(word)  # it may stand twice in one text
+        if found is None:
+            found = self.spaced.number[word] = -1 - self.other.of(" " + word)
+            self.lined.append(word)
         return found
 
     def _slowly(self, parts: list[str]) -> list[int]:

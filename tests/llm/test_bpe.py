@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ordersight.llm import bpe
 from ordersight.llm.bpe import PieceEncoder
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "it's 's x", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b",
@@ -33,3 +34,14 @@ def test_odd_texts(both):
 @given(st.lists(st.text(alphabet="ab1'.,|\n\t é \u0085 <>😀", max_size=30), min_size=1, max_size=6))
 def test_any_text(both, texts):
     check(both, texts)
+
+
+def test_full_stores(both, monkeypatch):
+    """Stores that forget after nearly every batch, and words with a line break that stand twice in a text."""
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 40)
+    small = (PieceEncoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")), both[1])
+    rng = np.random.default_rng(2)
+    for _ in range(12):
+        words = [f"{a}{b}" for a, b in zip(rng.choice(["a!\nB", "x\n y", "one", "two,", "z.\n\nQ"], 30), rng.integers(0, 12, 30))]
+        check(small, ["say a!\nB and a!\nB again a!\nB end", " ".join(words), " ".join(words[::-1]), *ODD[:6]])
+    assert len(small[0].spaced.sizes) <= 60 and len(small[0].other.sizes) <= 40
