@@ -226,15 +226,17 @@ def matrix_of_day(base: DataFrame, days_after: int, carried: tuple[str, ...] = (
 
 
 def complete_rows(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
-    """Rows without NULL or NaN outside ``but``. One condition per column: a single one over all columns, as
-    na.drop builds it, makes the optimizer derive a variant for every combination of later aliases."""
+    """Rows without NULL, NaN or infinity outside ``but``; the logarithm of a zero price is infinite, and no model can
+    take it. One condition per column: a single one over all columns, as na.drop builds it, makes the optimizer derive a
+    variant for every combination of later aliases."""
     conditions = []
     for f in df.schema:
         if f.name in but:
             continue
-        conditions.append(F.col(f"`{f.name}`").isNotNull())
-        if f.dataType.typeName() in ("double", "float"):
-            conditions.append(~F.isnan(f"`{f.name}`"))
+        c = F.col(f"`{f.name}`")
+        # NaN is greater than any number, so that the comparison holds for finite values alone.
+        real = f.dataType.typeName() in ("double", "float")
+        conditions.append(F.abs(c) < float("inf") if real else c.isNotNull())
     return df.where(reduce(and_, conditions))
 
 
@@ -244,7 +246,11 @@ def feature_matrix(prepared: DataFrame, days_after: int) -> DataFrame:
 
 def feature_matrix_all_days(prepared: DataFrame, days: list[int]) -> DataFrame:
     """The matrices of several days, stacked, with the day as a column; built from one base."""
-    base = feature_base(prepared, days)
+    return matrices_of_days(feature_base(prepared, days), days)
+
+
+def matrices_of_days(base: DataFrame, days: list[int]) -> DataFrame:
+    """The same from a base that is already there: one pass over its rows for all days."""
     per_day = F.array(*[F.struct(F.lit(x).alias("day"), *_day_columns(x)) for x in days])
     return complete_rows(
         base.select(V.KEY, V.DATE, *_static_columns(), V.LABEL, F.inline(per_day))

@@ -109,14 +109,17 @@ def validation_split(df: DataFrame, burn_in: float = 0.1, train: float = 0.8,
 
 
 def seeded_sample(df: DataFrame, rows: int, seed: int = 1, from_first: float = 0.8,
-                  sortable: int = SORTABLE_ROWS) -> DataFrame:
-    """``rows`` rows without replacement from the first part of the order (date, key).
+                  sortable: int = SORTABLE_ROWS, at_most: bool = False) -> DataFrame:
+    """``rows`` rows without replacement from the first part of the order (date, key); with ``at_most`` all of that
+    part if it has fewer.
 
     The sample is the rows with the smallest hash of seed and key: the same on every run and for any
     partitioning. The bound is found by counting hash prefixes, so nothing is sorted as a whole.
     """
     total, (end,) = cuts_at(df, lambda n: [int(from_first * n)], sortable=sortable)
     population = int(from_first * total)
+    if at_most:
+        rows = min(rows, population)
     if rows > population:
         raise ValueError(f"cannot draw {rows} rows from {population}")
     pool = df.where(end.in_front(F.col(V.DATE), F.col(V.KEY))) if end else df

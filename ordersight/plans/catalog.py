@@ -297,7 +297,7 @@ def _predicted(thresholds) -> Query:
 
 
 def hc_probabilities(spark, folder):
-    return portable(_model(spark, folder).probabilities(_day_data(spark, folder).train(5)))
+    return portable(D.probabilities_of_day(_day_data(spark, folder), 5, train_rows=TRAIN_ROWS))
 
 
 def feature_importances(spark, folder):
@@ -324,23 +324,23 @@ def flat_final_scores(spark, folder):
 def search_tree_day5_two_trials(spark, folder):
     """A part of the search, as the name says: one day, two combinations, two trials of each."""
     return portable(SE.tree_search(_prepared(spark, folder), [5], [("LR", "RF", "RF"), ("RF", "LR", "RF")], trials=2,
-                                   sample_rows=None, path=scratch_path(spark, "search")))
+                                   sample_rows=None, path=scratch_path(spark, "search"), train_rows=TRAIN_ROWS))
 
 
 def search_flat_day5_two_trials(spark, folder):
     """A part of the search, as the name says: one day, two trials of each kind."""
     return portable(SE.flat_search(_prepared(spark, folder), [5], trials=2, sample_rows=None,
-                                   path=scratch_path(spark, "search")))
+                                   path=scratch_path(spark, "search"), train_rows=TRAIN_ROWS))
 
 
 def search_tree(spark, folder):
     """The whole search: all days, combinations and trials, on the sample of the library."""
-    return portable(SE.tree_search(_prepared(spark, folder), path=scratch_path(spark, "search")))
+    return portable(SE.tree_search(_prepared(spark, folder), path=scratch_path(spark, "search"), train_rows=TRAIN_ROWS))
 
 
 def search_flat(spark, folder):
     """The whole search for the flat decision."""
-    return portable(SE.flat_search(_prepared(spark, folder), path=scratch_path(spark, "search")))
+    return portable(SE.flat_search(_prepared(spark, folder), path=scratch_path(spark, "search"), train_rows=TRAIN_ROWS))
 
 
 QUERIES: dict[str, Query] = {
