@@ -7,8 +7,8 @@ right space but are mixed in it; a sub-solve of the small shifted matrix of that
 
 Odd rows: a vector that is null, or holds a null, NaN or infinite entry, is left out. So is one of another length than
 most have (the longer length at a tie), and an empty one. Repeated rows count once in the fit and are all returned.
-Components without variance are left out, so equal vectors give no component at all. Columns whose names start with `_` are
-free for the operator; all others are returned as they are.
+Components without variance are left out, so equal vectors give no component at all. Columns named `_x`, `deviation` or
+`whitened` are replaced; all others are returned as they are.
 """
 
 from __future__ import annotations
@@ -238,6 +238,6 @@ def transformed(rows: DataFrame, model: Whitening) -> DataFrame:
 def whitened(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS, scale: int = SCALE
              ) -> tuple[DataFrame, Whitening]:
     """The usable rows with `deviation` and `whitened`, and the fit on their distinct vectors."""
-    rows = quantised(df, vector, scale)
+    rows = quantised(df.drop(*{"_x", "deviation", "whitened"} - {vector}), vector, scale)
     model = fit(rows, components)
     return transformed(rows, model), model

@@ -116,3 +116,10 @@ def test_large_entries_are_exact(spark):
     found, model = whitening.whitened(frame(spark, rows))
     want = slow([(i, [float(np.float32(c)) for c in v]) for i, v in rows], 2)
     assert {r["vec_id"]: int(r["deviation"]) for r in found.collect()} == {i: want[i, 1][1] for i in (1, 2, 3)}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0 - k * k], "a", "b", 1) for k in range(6)],
+                               "vec_id long, embedding array<float>, deviation string, whitened string, _x int")
+    found, model = whitening.whitened(df)
+    assert found.columns == ["vec_id", "embedding", "deviation", "whitened"] and found.count() == 6 and model.n == 6
