@@ -96,6 +96,16 @@ def test_thresholds_match_a_scan(spark):
             assert got[node]["f_score"] == pytest.approx(f)
 
 
+def test_bounds_of_scores_that_lie_almost_together(spark):
+    """Negatives of one node within a few ulp: scores of other nodes lie billions of its bins away."""
+    close = [0.5 + k * 2.0 ** -52 for k in range(40)]
+    wide = [k / 39 for k in range(40)]
+    rows = [(n, v, False) for n, vs in (("HAPPY", close), ("UNHAPPY", wide)) for v in vs]
+    got = T.lower_bounds(spark.createDataFrame(rows, "node string, score double, positive boolean"), 0.7)
+    for n, vs in (("HAPPY", close), ("UNHAPPY", wide)):
+        assert got[n]["bound"] == pytest.approx(float(np.percentile(vs, 70)), abs=1e-15)
+
+
 def test_node_without_positives_blocks(spark):
     df = scored(spark, [("HAPPY", 0.1, 0.9, 0.3, 0.3), ("HAPPY", 0.9, 0.9, 0.3, 0.3)])
     got = {r["node"]: r["threshold"] for r in T.learn(df, TREE).collect()}
