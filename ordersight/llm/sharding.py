@@ -10,6 +10,8 @@ per piece: numbers of pieces and shards, never rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ SHARDS = 24
 ROWS_PER_PIECE = 100_000
 LEAST_PIECES = 16
 SEED = 20
+#: numpy draws hypergeometric counts only below this.
+LIBRARY_BOUND = 1_000_000_000
+DEVIATIONS = 12
 
 
 def matrix(part_rows: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -41,11 +46,33 @@ def _draw(rng: np.random.Generator, left: np.ndarray, rows: int) -> np.ndarray:
     for s, here in enumerate(left.tolist()):
         rest -= here
         if rows and here:
-            taken[s] = rng.hypergeometric(here, rest, rows) if rest else rows
+            taken[s] = _hypergeometric(rng, here, rest, rows) if rest else rows
             rows -= int(taken[s])
     return taken
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn without replacement are good; for any numbers.
+
+    The library draws below a billion on either side. Beyond that the shares of the outcomes around the mode follow
+    from the ratios of neighbours, and one uniform number picks an outcome. Those left out, more than `DEVIATIONS`
+    deviations away, weigh less together than the last digit of a double.
+    """
+    if max(good, bad) < LIBRARY_BOUND:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    share = good / total
+    deviation = math.sqrt(n * share * (1 - share) * (total - n) / max(total - 1, 1))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = math.ceil(DEVIATIONS * deviation) + 20
+    low, high = max(0, n - bad, mode - reach), min(n, good, mode + reach)
+    k = np.arange(low, high, dtype=float)
+    ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weight = np.concatenate([[0.0], np.cumsum(ratio)])
+    weight = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(weight, rng.random() * weight[-1], side="right"))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """(k1, k2) of all columns to one narrow row per row of the table, with a number among equal rows.
 
