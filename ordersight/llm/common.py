@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ordersight.session import shared_folder
 
-#: A side is sent to all executors only if its counted rows stay below this many estimated bytes.
+#: A side is sent to all executors only if its rows, measured, stay below this many bytes.
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
@@ -24,13 +26,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _bytes_of(df: DataFrame) -> Column:
+    """Length of what a row holds beyond numbers: texts by their bytes, nested values as they would be printed."""
+    parts = [F.lit(0)]
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind in ("array", "struct", "map"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+    return reduce(add, parts).cast("long")
+
+
+def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the rows stay below the bound: `row_bytes` for each, and the measured bytes of its texts."""
+    n, held = df.agg(F.count("*"), F.sum(_bytes_of(df))).first()
+    return n * row_bytes + (held or 0) <= BROADCAST_BYTES
+
+
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A durable table, marked for broadcast only where its counted size is below the bound.
+    """A durable table, marked for broadcast only where its measured size is below the bound.
 
     A larger one is left to a shuffle join, in which adaptive execution splits hot keys.
     """
     df = durable(df)
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
 
 
 def words_between(text: Column, separators: str) -> Column:
@@ -55,6 +75,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _learned_ids(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the labelled ids that may be learned from; conflicting labels of an id count as 1."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~held_out())
+            .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
+
+
+def label_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    """Ids per class among all labelled rows that may be learned from."""
+    return {r["label"]: r["count"] for r in _learned_ids(labels, label).groupBy("label").count().collect()}
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int,
                     columns: list[str], longest: int = 100_000) -> list:
     """At most `rows_per_class` labelled documents of each class, chosen by a hash of the id.
@@ -63,8 +94,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     most twice `rows_per_class` ids. Held-out rows and texts of more than `longest` characters are never
     among them. Conflicting labels of an id count as 1.
     """
-    ids = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~held_out())
-           .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
+    ids = _learned_ids(labels, label)
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
              for k in (0, 1)]
     chosen = durable(parts[0].union(parts[1]).coalesce(1))

@@ -4,8 +4,9 @@ Labels mark documents, so token labels come first: in the training sample a toke
 labelled toxic if the word, or one of its beginnings, is met in far more toxic than clean documents. The field
 has two states, weights for words and word beginnings (hashed) and for transitions; it is fitted to the labelled
 tokens by its exact gradient. Forward-backward marginals of every token of every whole text are reduced to the
-greatest log odds and the expected number of toxic tokens, and a logistic model of these, fitted to the document
-labels of the sample, gives the score. Tokens with a marginal of a half or more are the offending spans.
+greatest log odds, the expected number of toxic tokens and the number of tokens, and a logistic model of these gives
+the score. It is fitted to the document labels of the sample, weighted to the shares that the classes have among all
+labels, and on marginals of fields that have not seen the document: the sample is parted into folds for it. Tokens with a marginal of a half or more are the offending spans.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordersight.llm.common import held_out, training_sample
+from ordersight.llm.common import held_out, label_counts, training_sample
 from ordersight.llm.learn import adagrad, logistic, probability
 
 #: Bounds of the training sample, per class.
 ROWS_PER_CLASS = 1500
 TOKENS_PER_ROW = 20_000
 THRESHOLD = 0.3
+#: Parts of the sample, each summarised by a field learned from the others.
+FOLDS = 2
 WEIGHTS = 1 << 16
 BEGINNINGS = (4, 5)
 STEPS = 25
@@ -103,8 +106,12 @@ class Chains:
 
 
 def summary(odds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per document: greatest log odds of a token, and log of one plus the expected toxic tokens."""
-    out = np.zeros((len(sizes), 2))
+    """Per document: greatest log odds of a token, logs of one plus the expected toxic tokens and of one plus all tokens.
+
+    The greatest of many is higher than of few without any meaning, so the number of tokens goes along.
+    """
+    out = np.zeros((len(sizes), 3))
+    out[:, 2] = np.log1p(sizes)
     out[:, 0] = -ODDS
     full = np.flatnonzero(sizes)
     if len(full):
@@ -181,11 +188,8 @@ class Sample:
         return words[self.word] & np.repeat(self.labels == 1, self.sizes)
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Tagger:
-    """A tagger from labelled documents; the first `TOKENS_PER_ROW` tokens of each are learned from."""
-    if len(set(labels)) < 2:
-        return Tagger(None, np.zeros((2, 2)), np.zeros(3))
-    sample = Sample(texts, labels)
+def _field(sample: Sample) -> np.ndarray:
+    """Weights of the units, the bias in the last place, and of the four transitions behind them."""
     gold, sizes, word, words = sample.gold(), sample.sizes, sample.word, len(sample.vocabulary)
     slot, of = sample.slot[sample.unit], sample.of
     chains = Chains(sizes)
@@ -207,9 +211,41 @@ def fit(texts: list[str | None], labels: list[int]) -> Tagger:
         out[WEIGHTS - 1] += off.sum()
         out[WEIGHTS:] = (pairs - gold_pairs).ravel()
         return out / n + 1e-4 * w
-    w = adagrad(gradient, WEIGHTS + 4, STEPS)
-    odds, _ = chains.marginals(emissions(w), w[WEIGHTS:].reshape(2, 2))
-    document = logistic(summary(odds, sizes), sample.labels.astype(float), ridge=0.1)
+    return adagrad(gradient, WEIGHTS + 4, STEPS)
+
+
+def _summaries(w: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    """Summaries of documents under a field, of the tokens that a sample keeps."""
+    tagger = Tagger(w[:WEIGHTS], w[WEIGHTS:].reshape(2, 2), np.zeros(4))
+    rows = [tagger.emissions(t)[:TOKENS_PER_ROW] for t in texts]
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    odds, _ = Chains(sizes).marginals(np.concatenate([np.zeros(0), *rows]), tagger.trans)
+    return summary(odds, sizes)
+
+
+def fit(texts: list[str | None], labels: list[int], counts: dict[int, int] | None = None) -> Tagger:
+    """A tagger from labelled documents; the first `TOKENS_PER_ROW` tokens of each are learned from.
+
+    `counts` are documents per class where the texts were drawn from; without them the texts' own numbers hold.
+    """
+    if len(set(labels)) < 2:
+        return Tagger(None, np.zeros((2, 2)), np.zeros(4))
+    y = np.array(labels)
+    w = _field(Sample(texts, labels))
+    # Folds go through each class in turn; a class of one document is in a single fold.
+    fold = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    x = np.zeros((len(y), 3))
+    for k in range(FOLDS):
+        seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(unseen):
+            own = _field(Sample([texts[i] for i in seen], y[seen].tolist())) if len(set(y[seen])) == 2 else w
+            x[unseen] = _summaries(own, [texts[i] for i in unseen])
+    sampled = np.bincount(y, minlength=2)
+    shares = np.array([(counts or {}).get(c, 0) or sampled[c] for c in (0, 1)], float)
+    weight = shares / shares.sum() * len(y) / sampled
+    document = logistic(x, y.astype(float), weight[y], ridge=0.1)
     return Tagger(w[:WEIGHTS], w[WEIGHTS:].reshape(2, 2), document)
 
 
@@ -239,7 +275,7 @@ def _scored(tagger: Tagger, back: bool):
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Tagger:
     """Fit to at most `rows_per_class` labelled documents of each class, none of them held out."""
     rows = training_sample(docs, labels, "toxic", rows_per_class, ["text"])
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], label_counts(labels, "toxic"))
 
 
 def scored(docs: DataFrame, tagger: Tagger, columns: list[str]) -> DataFrame:
