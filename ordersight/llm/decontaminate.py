@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.llm.common import durable, lower_ascii, sized, words_between
+from ordersight.llm.common import durable, fits_broadcast, lower_ascii, sized, words_between
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,6 +56,29 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add)["n"]
 
 
+def _met(texts: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Places of (doc_id, text_key, w) where a looked-up window stands: doc_id, text_key, gram_id, pos, offset, size.
+
+    With a small lookup the words of a text stay where they are and are only referred to. A large one is joined by
+    shuffle: then each row takes along no more than the words that a window around its place can reach, and only words
+    that begin some lookup go.
+    """
+    words = texts.select("doc_id", "text_key", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    if fits_broadcast(lookup, 100):
+        here = F.slice("w", start + 1, F.col("size"))
+        met = words.join(F.broadcast(lookup), "word").where(inside & (here == F.col("gram")))
+    else:
+        first = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
+        narrow = words.select("doc_id", "text_key", "n_words", "pos", "word", first.alias("first"),
+                              F.slice("w", first + 1, F.lit(2 * WINDOW - 1)).alias("near"))
+        narrow = narrow.join(sized(lookup.select("word").distinct(), 64), "word", "left_semi")
+        here = F.slice("near", start - F.col("first") + 1, F.col("size"))
+        met = narrow.join(lookup, "word").where(inside).where(here == F.col("gram"))
+    return met.select("doc_id", "text_key", "gram_id", "pos", "offset", "size")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id, text) to doc_id, text_key, n_words, n_hit, n_items, item_ids, spans.
 
@@ -67,17 +90,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = item_windows(benchmark.select("item_id", "text"))
     pairs = durable(pairs)
     grams = durable(pairs.select("gram").distinct().withColumn("gram_id", F.monotonically_increasing_id()))
-    lookup = sized(probes(docs, grams), 400)
+    lookup = durable(probes(docs, grams))
     items = sized(pairs.join(grams, "gram").select(
         "gram_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")), 64)
 
     texts = docs.select("doc_id", key, words_of(F.col("text")).alias("w"))
-    words = texts.select("doc_id", "text_key", "w", F.size("w").alias("n_words"),
-                         F.posexplode("w").alias("pos", "word"))
+    met = _met(texts, lookup)
     start = F.col("pos") - F.col("offset")
-    met = words.join(lookup, "word").where(
-        (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-        & (F.slice("w", start + 1, F.col("size")) == F.col("gram")))
     hits = durable(met.select("doc_id", "text_key", "gram_id", start.alias("start"),
                               (start + F.col("size")).alias("end")))
     spans = hits.groupBy("doc_id", "text_key").agg(

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ordersight.llm import (components, cotraining, decontaminate, fertility, line_chunks, mixing, pii, sharding,
+from ordersight.llm import (common, components, cotraining, decontaminate, fertility, line_chunks, mixing, pii, sharding,
                             simhash, token_files, toxicity)
 from ordersight.llm.queries import vocabulary
 
@@ -43,6 +43,48 @@ def operators(labels, benchmark):
 NAMES = ["near", "toxic", "quality", "mix", "mixed", "fertility", "pii", "leaks", "tokens", "lines", "shards"]
 
 
+@pytest.mark.parametrize("name", ["near", "mix", "fertility", "leaks", "tokens", "lines"])
+def test_no_broadcast_no_difference(spark, docs, labels, benchmark, name, monkeypatch):
+    def rows():
+        found = operators(labels, benchmark)[name](docs)
+        return sorted(map(repr, found.select(*sorted(set(found.columns) - {"file_no", "path"})).collect()))
+    want = rows()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_broadcast_is_measured(spark):
+    """Two rows with long texts, plain or nested, are larger than many short ones."""
+    few = spark.createDataFrame([(1, "x" * 10_000_000, ["y"]), (2, "", ["z" * 10_000_000])], "id long, t string, a array<string>")
+    assert not common.fits_broadcast(few, 16) and common.fits_broadcast(few.select("id"), 16)
+    assert not common.fits_broadcast(few.select("t").union(few.select("t")), 16) and not common.fits_broadcast(few.select("a").union(few.select("a")), 16)
+
+
+@pytest.mark.parametrize("good, bad, n", [(4000, 92_000, 1000), (40, 3, 20), (5, 5, 10), (3, 100, 0)])
+def test_counts_beyond_the_bound_of_the_library(monkeypatch, good, bad, n):
+    """The own draw has the distribution of the library's, and works where that one ends."""
+    rng, draws = np.random.default_rng(3), 20_000
+    want = rng.hypergeometric(good, bad, n, draws)
+    monkeypatch.setattr(sharding, "LIBRARY_BOUND", 0)
+    got = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(draws)])
+    values = np.union1d(want, got)
+    far = np.abs(np.array([(got <= v).mean() - (want <= v).mean() for v in values])).max()
+    assert far < 0.025 and got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+
+
+def test_a_hundred_billion_rows():
+    drawn = sharding.matrix([10 ** 11 // 40] * 39 + [10 ** 11 - 39 * (10 ** 11 // 40) + 7], 24)
+    assert drawn.sum() == 10 ** 11 + 7 and set(np.diff(np.sort(drawn.sum(0)))) <= {0, 1} and drawn.min() > 0
+    # Counts of a part scatter around an even share as the law says.
+    share = 10 ** 11 // 40 / 24
+    assert 0.5 < np.std(drawn[:20]) / np.sqrt(share * 23 / 24) < 1.5
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows(docs, labels, benchmark, name):
     rows = operators(labels, benchmark)[name](docs).collect()
