@@ -7,6 +7,10 @@ other. It learns from the base spans of a bounded sample, by its exact gradient,
 entities of bounded length chooses boundaries and kinds together, so it also finds entities that a pattern
 loses, such as a phone number that a greedy match joins to the card number behind it. A span that overlaps a
 base span is not added.
+
+Digits that no pattern took are learned as outside, so that the field meets numbers that are no cards. Left out
+are only stretches with a candidate that would be an entity by itself and lies in a longer match that failed:
+these joined entities are what the field is to find.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Bounds of the training sample, and of an entity in tokens.
+#: Bounds of the training sample, which holds whole texts up to a length, and of an entity in tokens.
 SAMPLE_TEXTS = 600
 SAMPLE_CHARS = 20_000
 SAMPLE_STRETCHES = 500
@@ -40,6 +44,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_CARD_SHAPE = re.compile(r"[0-9]+([\x20-][0-9]+)*")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -52,6 +57,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_entity(span: str) -> bool:
+    """Whether the span as a whole has the form of one of the numbered kinds."""
+    digits = len(_NOT_DIGIT.sub("", span))
+    if _CARD_SHAPE.fullmatch(span):
+        return 14 <= digits <= 19 and luhn(_NOT_DIGIT.sub("", span))
+    if _PHONE.fullmatch(span):
+        return 10 <= digits <= 15
+    return bool(_IP.fullmatch(span)) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in span.split("."))
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by start, then kind. Linear in the text."""
     out: list[Span] = []
@@ -161,7 +176,7 @@ def span_features(text: str, start: int, end: int) -> tuple[str, ...]:
     follows = after in "-." and text[end + 1:end + 2].isdigit() if after else False
     return ("bias", "s:" + shape[:40], f"n:{len(digits) if '@' not in span else 'x'}",
             "c:" + "".join(sorted(set(re.sub(r"[\w\s]", "", span)))), f"g:{min(span.count(' '), 5)}",
-            f"f:{_around(span[0])}", f"l:{len(digits) >= 13 and luhn(digits)}", f"o:{octets}",
+            f"f:{_around(span[0])}", f"l:{len(digits) >= 13 and luhn(digits)}", f"o:{octets}", f"e:{is_entity(span)}",
             f"b:{_around(before)}", f"a:{_around(after)}{follows}")
 
 
@@ -276,7 +291,6 @@ def fit(texts: list[str]) -> Field:
     numbers: dict[str, int] = {}
     found, some = [], 0
     for text in texts:
-        text = text[:SAMPLE_CHARS]
         spans = base_spans(text)
         for stretch in stretches(text, span_features):
             lo, hi = stretch.tokens[0][0], stretch.tokens[-1][1]
@@ -289,10 +303,12 @@ def fit(texts: list[str]) -> Field:
                 elif start >= end:
                     gold.append((place[start, stop], kind))
                     end = stop
-            # Long runs of digits that no pattern took may be joined entities: nothing is learned from them.
-            runs = [m for m in _CARD.finditer(text, lo, hi) if len(_NOT_DIGIT.sub("", m.group())) >= 7]
-            loose = any(not any(s[0] <= m.start() and m.end() <= s[2] for s in inside) for m in runs)
-            if whole and not loose:
+            # A candidate that is an entity by itself, and that a pattern lost, may be one: nothing is learned there.
+            taken = [(s[0], s[2]) for s in inside]
+            lost = any(is_entity(text[stretch.tokens[i][0]:stretch.tokens[j - 1][1]]) and not any(
+                a < stretch.tokens[j - 1][1] and stretch.tokens[i][0] < b for a, b in taken)
+                for i, j, _ in stretch.candidates)
+            if whole and not lost:
                 some += len(gold)
                 candidates = [(i, j, [numbers.setdefault(f, len(numbers)) for f in fs]) for i, j, fs in stretch.candidates]
                 found.append((len(stretch.tokens), candidates, gold))
@@ -339,12 +355,13 @@ def _found(field: Field):
 
 
 def train(docs: DataFrame) -> Field:
-    """Fit to at most `SAMPLE_TEXTS` different texts with digits or an at sign, those with the least hashes.
+    """Fit to at most `SAMPLE_TEXTS` different whole texts with digits or an at sign, those with the least hashes.
 
+    Texts of more than `SAMPLE_CHARS` characters are not learned from, which bounds what the driver holds.
     The hashes are chosen first, so that no text but the chosen ones leaves the executors.
     """
-    some = docs.where(F.col("text").rlike("[0-9]{7}|@|[0-9] ?[-.(] ?[0-9]{3}")).select(
-        F.xxhash64("text").alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]{7}|@|[0-9] ?[-.(] ?[0-9]{3}")).select(
+        F.xxhash64("text").alias("key"), "text")
     keys = some.select("key").distinct().orderBy("key").limit(SAMPLE_TEXTS).collect()
     if not keys:
         return fit([])
