@@ -161,21 +161,46 @@ WITH line AS (
   SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i, len(l) AS n
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 hashed AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM line),
+  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM line),
 ended AS (
-  SELECT *, (coalesce(lag(h) OVER d, 0) * {line_chunks.FACTOR} + h) % {line_chunks.DIVISOR} = 0 OR i = n AS stops
+  SELECT *, (h % {line_chunks.ALONE} <> 0 OR (coalesce(lag(h) OVER d, 0) * {line_chunks.FACTOR} + h) % {line_chunks.TOGETHER} = 0)
+    AND line <> lead(line) OVER d OR i = n OR words > {line_chunks.PASSAGE_WORDS} OR lead(words) OVER d > {line_chunks.PASSAGE_WORDS} AS stops
   FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (
   SELECT *, coalesce(sum(stops::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
   FROM ended),
 chunk AS (
-  SELECT doc_id, c, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS t FROM numbered GROUP BY ALL),
+  SELECT doc_id, c, min(i) AS first, count(*) AS size, sum(words) AS words, list(line ORDER BY i) AS lines,
+    list(words ORDER BY i) AS each FROM numbered GROUP BY doc_id, c),
+sided AS (
+  SELECT *, CASE WHEN (lag(each) OVER d)[1] <= {line_chunks.PASSAGE_WORDS} THEN list_reverse(lag(lines) OVER d) ELSE [] END AS before,
+    CASE WHEN (lag(each) OVER d)[1] <= {line_chunks.PASSAGE_WORDS} THEN list_reverse(lag(each) OVER d) ELSE [] END AS before_words,
+    CASE WHEN (lead(each) OVER d)[1] <= {line_chunks.PASSAGE_WORDS} THEN lead(lines) OVER d ELSE [] END AS behind,
+    CASE WHEN (lead(each) OVER d)[1] <= {line_chunks.PASSAGE_WORDS} THEN lead(each) OVER d ELSE [] END AS behind_words
+  FROM chunk WINDOW d AS (PARTITION BY doc_id ORDER BY c)),
+anchor AS (
+  SELECT *, row_number() OVER o AS no, first_value(doc_id) OVER o AS origin, first - first_value(first) OVER o AS shift,
+    first_value(before) OVER o AS origin_before, first_value(behind) OVER o AS origin_behind
+  FROM sided WHERE size > 1 OR words >= {line_chunks.ANCHOR_WORDS}
+  WINDOW o AS (PARTITION BY lines ORDER BY doc_id, c)),
+extended AS (
+  SELECT *, len(list_filter(range(1, least(len(before), len(origin_before)) + 1), lambda k: before[1:k] = origin_before[1:k])) AS up,
+    len(list_filter(range(1, least(len(behind), len(origin_behind)) + 1), lambda k: behind[1:k] = origin_behind[1:k])) AS down
+  FROM anchor WHERE no > 1),
+met AS (
+  SELECT DISTINCT doc_id, origin, shift, unnest(range(first - up, first + size + down)) AS i FROM extended),
+run AS (
+  SELECT m.*, words, m.i - row_number() OVER (PARTITION BY m.doc_id, origin, shift ORDER BY m.i) AS run
+  FROM met m JOIN numbered n ON n.doc_id = m.doc_id AND n.i = m.i),
 judged AS (
-  SELECT *, size > 1 AND row_number() OVER (PARTITION BY t, size > 1 ORDER BY doc_id, c) > 1 AS gone FROM chunk)
-SELECT doc_id, sum(size)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks,
-  coalesce(sum(size) FILTER (gone), 0)::BIGINT AS n_removed_lines,
-  sha256(coalesce(string_agg(t, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+  SELECT doc_id, i, sum(words) OVER (PARTITION BY doc_id, origin, shift, run) AS total FROM run),
+gone AS (
+  SELECT doc_id, i FROM judged WHERE total > {line_chunks.PASSAGE_WORDS}
+  UNION SELECT doc_id, unnest(range(first, first + size)) FROM extended WHERE size > 1)
+SELECT n.doc_id, count(*)::BIGINT AS n_lines, count(DISTINCT c)::BIGINT AS n_chunks, count(g.i)::BIGINT AS n_removed_lines,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id
 """
 
 ORACLES = {"op7_prefix_filter_decontamination": _DECONTAMINATION, "op9_line_chunks": _LINE_CHUNKS}

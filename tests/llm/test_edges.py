@@ -116,7 +116,26 @@ def test_lines_that_repeat_over_documents(spark):
     rows = [(k, f"start {k}\n{passage}\nend {k}") for k in range(5)]
     got = {r["doc_id"]: r for r in line_chunks.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0]["n_removed_lines"] == 0 and got[0]["kept_text"] == rows[0][1]
-    assert all(got[k]["n_removed_lines"] >= 2 and f"end {k}" in got[k]["kept_text"] for k in range(1, 5))
+    assert all(got[k]["n_removed_lines"] >= 8 and f"end {k}" in got[k]["kept_text"] for k in range(1, 5))
+
+
+def test_chunks_find_short_passages(spark):
+    """Passages of 1 to 4 lines and blocks of one line between other lines: most go whole, and nothing else goes."""
+    rng = np.random.default_rng(11)
+
+    def line(n):
+        return " ".join(f"w{rng.integers(10 ** 6)}" for _ in range(n))
+    passages = ["\n".join(line(60 // n + 1) for _ in range(n)) for n in (1, 2, 3, 4) for _ in range(50)]
+    passages += ["\n".join([line(14)] * 6) for _ in range(50)]
+    parts = [[line(9), p, line(9)] for p in passages * 2]
+    rows = list(enumerate("\n".join(p) for p in parts))
+    got = {r["doc_id"]: r for r in line_chunks.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(passages)
+    assert all(got[k]["kept_text"] == rows[k][1] for k in range(n))
+    whole = [got[n + k]["kept_text"] == f"{parts[n + k][0]}\n{parts[n + k][2]}" for k in range(n)]
+    assert all(parts[k][i] in got[k]["kept_text"] for k in range(2 * n) for i in (0, 2))
+    share = [np.mean(whole[k:k + 50]) for k in range(0, n, 50)]
+    assert share[0] == 1 and share[1] >= 0.5 and share[2] >= 0.75 and share[3] >= 0.85 and share[4] >= 0.6, share
 
 
 def test_components_of_a_path(spark):
@@ -230,7 +249,7 @@ def test_passages_of_odd_rows(docs):
 
 
 def test_blocks_of_one_repeated_line(spark):
-    """A block of equal lines that repeats over documents goes; the chunks of op9_line_chunks leave all of it."""
+    """A block of equal lines that repeats over documents goes."""
     block = "\n".join(["this very same line of nine words comes again"] * 8)
     rows = spark.createDataFrame([(k, f"start {k}\n{block}\nend {k}") for k in range(4)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in line_chunks.without_passages(rows).collect()}
