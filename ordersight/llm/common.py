@@ -87,19 +87,20 @@ def label_counts(labels: DataFrame, label: str) -> dict[int, int]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int,
-                    columns: list[str], longest: int = 100_000) -> list:
+                    columns: list[str], longest: int | None = 100_000) -> list:
     """At most `rows_per_class` labelled documents of each class, chosen by a hash of the id.
 
     The ids are chosen in `labels` alone, so the documents are scanned once, against a broadcast of at
     most twice `rows_per_class` ids. Held-out rows and texts of more than `longest` characters are never
-    among them. Conflicting labels of an id count as 1.
+    among them (None: no bound, no text column). Conflicting labels of an id count as 1.
     """
     ids = _learned_ids(labels, label)
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
              for k in (0, 1)]
     chosen = durable(parts[0].union(parts[1]).coalesce(1))
-    found = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id").where(
-        F.length(F.coalesce("text", F.lit(""))) <= longest)
+    found = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+    if longest is not None:
+        found = found.where(F.length(F.coalesce("text", F.lit(""))) <= longest)
     return sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 
