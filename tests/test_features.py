@@ -144,3 +144,10 @@ def test_join_beyond_the_broadcast_limit(spark):
     large = lookup_join(rows, table, ["key", "day"], "t", limit_bytes=0)
     assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str) and small.count() == 3
     assert "hint" not in large._jdf.queryExecution().logical().toString().lower()
+
+
+def test_states_are_kept_once_however_many_days_share_them(raw):
+    prepared = clean(raw({}, {"productId": 2}, {"orderDate": day(30)}))
+    base = X.feature_base(prepared, list(range(11)))
+    for r in base.collect():
+        assert len(r["product_states"]["values"]) <= 2 and sorted(r["product_states"]["at"]) == list(range(11))
