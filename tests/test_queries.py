@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from ordersight import session
+from ordersight.plans import catalog
 
 FOLDER = Path("/root/testdata/sf0.001")
 # The queries of the llm package are tested in its own folder.
@@ -59,3 +61,21 @@ def test_searches_are_whole(monkeypatch):
             "all lines", None, V.SEARCH_TRIALS, V.SEARCH_SAMPLE_ROWS) and got["combinations" if "tree" in name else "kinds"] in (None, ("RF", "LR"))
         entry.queries()[f"{query}_day5_two_trials"](None, "")
         assert asked[name]["sample_rows"] is None
+
+
+def test_models_of_one_day_carry_no_other_days(spark):
+    data = catalog._one_day_data(spark, str(FOLDER))
+    assert set(data.base.selectExpr("map_keys(product_states.at) k").first()["k"]) == {0, 5}
+
+
+def test_writes_split_methods_and_leave_the_setting(spark):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65535")
+    try:
+        with session.compiled(spark):
+            seen.append(spark.conf.get(name))
+        seen.append(spark.conf.get(name))
+    finally:
+        spark.conf.set(name, before)
+    assert seen == ["8000", "65535"]
