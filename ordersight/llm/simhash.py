@@ -169,6 +169,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id", "in_component", "component")
 
 
+def text_links(found: DataFrame) -> DataFrame:
+    """From near_duplicates to links (a, b) of text keys: every text of a component to its least key."""
+    texts_of = durable(found.select("component", "text_key").distinct())
+    least = texts_of.groupBy("component").agg(F.min("text_key").alias("a"))
+    return texts_of.join(least, "component").where("a <> text_key").select("a", F.col("text_key").alias("b"))
+
+
 def superfluous(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From near_duplicates to the (doc_id, text_key) that go, and those kept ones of which all rows but one go.
 
