@@ -76,6 +76,11 @@ def test_writes_split_methods_and_leave_the_setting(spark):
         with session.compiled(spark):
             seen.append(spark.conf.get(name))
         seen.append(spark.conf.get(name))
+        first, second = session.compiled(spark), session.compiled(spark)
+        first.__enter__(), second.__enter__(), first.__exit__(None, None, None)
+        seen.append(spark.conf.get(name))
+        second.__exit__(None, None, None)
+        seen.append(spark.conf.get(name))
     finally:
         spark.conf.set(name, before)
-    assert seen == ["8000", "65535"]
+    assert seen == ["8000", "65535", "8000", "65535"]
