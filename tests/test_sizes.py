@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 from contextlib import redirect_stdout
 from pathlib import Path
@@ -11,6 +12,7 @@ from ordersight.operators import features as X
 from ordersight.operators import routing as R
 from ordersight.operators import splits as S
 from ordersight.plans import catalog
+from ordersight.plans.prepare import clean
 from ordersight.sources import star
 
 FOLDER = str(Path("/root/testdata/sf0.001"))
@@ -59,3 +61,20 @@ def test_history_of_scores_shuffles_no_row_per_day(spark):
     assert "Exchange" not in above[0]
     assert "Exchange" in above[1]
     assert rows_of(histories[0]) == rows_of(histories[1])
+
+
+def prepared_lines(raw):
+    """Lines of three products and two sellers on fifteen days; some are returned."""
+    first = datetime.date(2020, 3, 2)
+    return clean(raw(*[{
+        "productId": i % 3, "sellerId": i % 2, "orderDate": first + datetime.timedelta(i * i % 15), "quantityOrdered": 1.0 + i % 4,
+        **({"returnDateTime": datetime.datetime(2020, 3, 20 + i % 5, 9), "quanityReturned": 1.0, "noReturn": False} if i % 4 == 0 else {}),
+    } for i in range(60)]))
+
+
+def test_product_history_is_the_state_that_each_day_sees(spark, raw):
+    prepared, days = prepared_lines(raw), [0, 1, 5, 10]
+    history, states = X.product_history(prepared, days), X.product_states(prepared, days)
+    assert "collect_list" not in plan_of(history)
+    assert rows_of(history) == rows_of(states.select(
+        "productId", "day", *[X._state_of("product", x).alias(f"product_{x}") for x in days]))
