@@ -7,13 +7,17 @@ import io
 from contextlib import redirect_stdout
 from pathlib import Path
 
+from pyspark import cloudpickle
+
 from ordersight.functions import values as V
 from ordersight.operators import features as X
 from ordersight.operators import routing as R
 from ordersight.operators import splits as S
-from ordersight.plans import catalog
+from ordersight.operators.hierarchy import ClassTree
+from ordersight.plans import catalog, search
 from ordersight.plans.prepare import clean
 from ordersight.sources import star
+from ordersight.streaming import daily
 
 FOLDER = str(Path("/root/testdata/sf0.001"))
 
@@ -72,9 +76,37 @@ def prepared_lines(raw):
     } for i in range(60)]))
 
 
+def test_the_cuts_are_searched_in_dates_and_keys_alone(spark, raw, monkeypatch):
+    """The matrix of the first day is made once, not again for each pass of the search."""
+    seen, real = [], daily.cuts_at
+    monkeypatch.setattr(daily, "cuts_at", lambda df, positions: seen.append(df) or real(df, positions))
+    data = daily.DayData.build(prepared_lines(raw), [5])
+    assert seen[0].columns == [V.KEY, V.DATE] and "product_states" not in plan_of(seen[0])
+    assert real(X.matrix_of_day(data.base, 5), S.test_positions)[1] == data.cuts != [None, None]
+
+
 def test_product_history_is_the_state_that_each_day_sees(spark, raw):
     prepared, days = prepared_lines(raw), [0, 1, 5, 10]
     history, states = X.product_history(prepared, days), X.product_states(prepared, days)
     assert "collect_list" not in plan_of(history)
     assert rows_of(history) == rows_of(states.select(
         "productId", "day", *[X._state_of("product", x).alias(f"product_{x}") for x in days]))
+
+
+def test_choices_are_sent_without_this_package(spark, monkeypatch):
+    class Table:
+        def select(self, *columns):
+            return self
+
+        where = select
+
+        def mapInArrow(self, function, schema):
+            return function
+    monkeypatch.setattr(search, "matrices_of_days", lambda base, days: Table())
+    monkeypatch.setattr(search, "assembled", lambda df, features: df)
+    monkeypatch.setattr(search, "written", lambda df, name: df)
+    tree = ClassTree.satisfaction()
+    stages, number = tree.stages(), {n: i for i, n in enumerate([tree.root, *tree.parents])}
+    held = type("Held", (), {"held_out_lines": lambda self: Table()})()
+    run = search._choice_table(held, [5], {5: search._Day([[] for _ in stages])}, stages, number, {}, [], tree, False)
+    assert b"ordersight.operators.hierarchy" not in cloudpickle.dumps(run)
