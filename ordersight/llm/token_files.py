@@ -30,6 +30,8 @@ MAGIC = b"SVB1"
 FRAME_TOKENS = 1 << 18
 DOCS_AT_ONCE = 500
 DOCS_PER_FILE = 50_000
+#: A task holds about the ids of one file, however long the documents are.
+TOKENS_PER_FILE = 1 << 23
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -122,9 +124,9 @@ def _framed(rank: np.ndarray, kind: str):
                 ["file_no", "frame_no", "before", "tokens", "doc_ids", "frame"])
         held = 0
         for batch in batches:
-            for doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs.append(doc_id)
-                parts.append(rank[np.frombuffer(ids, kind)])
+            for doc_id, ids in zip(*batch.columns, strict=True):
+                docs.append(doc_id.as_py())
+                parts.append(rank[np.frombuffer(ids.as_buffer(), kind)])
                 held += len(parts[-1])
                 if held >= FRAME_TOKENS:
                     yield flush()
@@ -137,8 +139,9 @@ def _framed(rank: np.ndarray, kind: str):
 def _decoded(id_of_rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, doc_ids, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sizes, values = read_frame(frame)
+            for start, doc_ids, frame in zip(*batch.columns, strict=True):  # one frame at a time
+                start, doc_ids = start.as_py(), doc_ids.as_py()
+                sizes, values = read_frame(frame.as_py())
                 ids = id_of_rank[values].astype("<u4")
                 ends = np.cumsum(sizes)
                 yield pa.record_batch([
@@ -160,14 +163,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> No
         _encoded(tokenizer_path, end, kind), "doc_id long, ids binary, counts binary"))
     ids = encoded.where("counts IS NULL").select("doc_id", "ids")
     counts = encoded.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    ranking = counts.orderBy(F.desc("n"), "id").select("id").collect()
+    ranking = counts.orderBy(F.desc("n"), "id").collect()
     id_of_rank = np.array([r["id"] for r in ranking], np.int64)
     rank = np.zeros(int(id_of_rank.max(initial=0)) + 1, np.uint32)
     rank[id_of_rank] = np.arange(len(id_of_rank))
     spark = docs.sparkSession
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(id_of_rank)], "rank long, id long").coalesce(1).write.parquet(
         f"{path}/ranking")
-    files = max(12, -(-ids.count() // DOCS_PER_FILE))
+    files = max(12, -(-ids.count() // DOCS_PER_FILE), -(-sum(r["n"] for r in ranking) // TOKENS_PER_FILE))
     (ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
      .mapInArrow(_framed(rank, kind), "file_no int, frame_no int, before long, tokens long, doc_ids array<long>, frame binary")
      .write.parquet(f"{path}/frames"))

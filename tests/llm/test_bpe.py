@@ -45,3 +45,31 @@ def test_full_stores(both, monkeypatch):
         words = [f"{a}{b}" for a, b in zip(rng.choice(["a!\nB", "x\n y", "one", "two,", "z.\n\nQ"], 30), rng.integers(0, 12, 30))]
         check(small, ["say a!\nB and a!\nB again a!\nB end", " ".join(words), " ".join(words[::-1]), *ODD[:6]])
     assert len(small[0].spaced.sizes) <= 60 and len(small[0].other.sizes) <= 40
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aSstremvld'1., \n\t\réÀ<|>", max_size=40), min_size=1, max_size=6))
+def test_plain_texts(both, texts):
+    check(both, texts)
+
+
+def test_cuts_of_many_texts(both, monkeypatch):
+    """Texts that are cut apart from each other, among texts that are not plain."""
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 20)
+    rng = np.random.default_rng(3)
+    words = ["it's", " 'tis", "we'LL", "'re", "été", "a\n\n b", "x  ", "12", "--", "😀", "", "\n"]
+    check(both, [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(300)])
+
+
+def test_known_words_with_other_marks(both):
+    """A word that was met goes to the tokenizer no second time for the marks and line breaks around it."""
+    encoder = PieceEncoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    sent, tokenizer = [], encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(w for t in texts for w in t.split())
+            return tokenizer.encode_batch_fast(texts, **kw)
+    encoder.tokenizer = Counted()
+    check((encoder, both[1]), ["Say hello there, hello", "Say, say\nSay. there\nhello! hello,"])
+    assert sent.count("hello") <= 2 and sum("hello" in w for w in sent) == sent.count("hello")

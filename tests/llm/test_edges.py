@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ordersight.llm import (common, components, cotraining, decontaminate, fertility, line_chunks, mixing, pii, sharding,
                             simhash, token_files, toxicity)
@@ -263,3 +264,17 @@ def test_tokens_have_their_places():
     found = toxicity.tokens(text)
     spans = toxicity._spans(text, np.zeros(len(found)))
     assert [text[s["start"]:s["end"]].lower() for s in spans] == found
+
+
+def test_token_files_of_long_texts(spark, tmp_path, monkeypatch):
+    """Few long documents are dealt over more files than few short ones."""
+    monkeypatch.setattr(token_files, "TOKENS_PER_FILE", 100)
+    public = pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(k, f"{k} " + "a word or two " * 30) for k in range(60)], "doc_id long, text string")
+    token_files.write(docs, str(tmp_path / "files"), public.path("byte_bpe_50k.json"))
+    frames = spark.read.parquet(str(tmp_path / "files/frames"))
+    files = frames.groupBy("file_no").agg(F.sum("tokens").alias("n")).collect()
+    assert len(files) > 30 and max(r["n"] for r in files) < 1000
+    back = token_files.read(spark, str(tmp_path / "files")).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in back] == list(range(60))
+    assert [r["start"] for r in back] == [sum(r["n_tokens"] for r in back[:k]) for k in range(60)]
