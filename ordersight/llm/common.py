@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -16,6 +17,11 @@ from ordersight.session import shared_folder
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
+#: Seconds between two collections of the driver's garbage, at least.
+COLLECT_EVERY = 5.0
+_COLLECTED = {"at": 0.0}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that all executors share; Spark removes the files with the table."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    _collect(df.sparkSession)
+    return out
+
+
+def _collect(spark: SparkSession) -> None:
+    """Have the driver's JVM drop the plans of steps that are over, and with them their shuffle files and broadcasts.
+
+    By itself it lets the heap grow to its bound before it does, however little of it is in use: steps of many small jobs
+    fill it with plans.
+    """
+    now = time.monotonic()
+    if now - _COLLECTED["at"] >= COLLECT_EVERY:
+        _COLLECTED["at"] = now
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def _bytes_of(df: DataFrame) -> Column:
